@@ -62,7 +62,7 @@ def with_index(
 def chunk_rows(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Adds ``chunk_id``: ordered batches of ``n`` rows, counted from 0 inside each ``by`` group."""
     placed = with_position(df, order, by)
-    return placed.withColumn("chunk_id", F.floor(F.col("position") / n)).drop("position")
+    return placed.withColumn("chunk_id", F.expr(f"position div {int(n)}")).drop("position")
 
 
 def first_per_key(

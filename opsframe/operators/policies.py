@@ -10,10 +10,10 @@ from opsframe.functions import (
     array_union_sorted,
     expected_pages,
     missing_items,
-    parse_permissions,
     same_set,
     sorted_distinct,
 )
+from opsframe.functions.text import PERMISSIONS
 from opsframe.operators.ordering import top_k
 from opsframe.schemas import ACCESS
 
@@ -129,44 +129,55 @@ def unmatched_grants(
     return grants.join(names, "policy_name", "left_anti")
 
 
+def _first_places(df: DataFrame, *keys: str) -> DataFrame:
+    """Per key: the first grant at all and the first one of each permission."""
+    return df.groupBy(*keys).agg(*[F.min(c).alias(c) for c in ["first", *PERMISSIONS.values()]])
+
+
 def grant_targets(
     policies: DataFrame, grants: DataFrame, service: str | None = GRANT_SERVICE
 ) -> DataFrame:
-    """Where grants go: ``name, item, group_name, first, permissions``.
+    """Where grants go: ``name, item, group_name, first`` and a place per permission.
 
     ``item`` is the first item of the policy that holds the group, null when a new one is
-    needed; ``permissions`` are distinct in order of arrival, ``first`` is the group's first
-    grant. Grants shrink to one row per policy, group and permission before any shuffle.
+    needed. Grants shrink to one row per policy and group before the shuffle.
     """
-    wanted = grants.select(
-        "policy_name",
+    letter_at = {
+        name: F.when(
+            F.col("permissions").contains(letter),
+            F.struct("row_no", F.instr("permissions", letter).alias("at")),
+        ).alias(name)
+        for letter, name in PERMISSIONS.items()
+    }
+    wanted = _first_places(
+        grants.select(
+            F.col("policy_name").alias("name"),
+            "group_name",
+            F.col("row_no").alias("first"),
+            *letter_at.values(),
+        ),
+        "name",
         "group_name",
-        "row_no",
-        F.posexplode_outer(parse_permissions(F.col("permissions"))).alias("letter", "permission"),
-    )
-    wanted = wanted.groupBy("policy_name", "group_name", "permission").agg(
-        F.min(F.struct("row_no", "letter")).alias("at")
     )
+    ours = _named(policies, service)
     held = (
-        _named(policies, service)
-        .select("name", F.posexplode("policyItems").alias("item", "doc"))
-        .select("name", "item", F.explode("doc.groups").alias("group_name"))
+        ours.select("name", F.posexplode("policyItems.groups").alias("item", "groups"))
+        .select("name", "item", F.explode("groups").alias("group_name"))
         .groupBy("name", "group_name")
         .agg(F.min("item").alias("item"))
     )
-    known = _named(policies, service).select("name")
-    return (
-        wanted.withColumnRenamed("policy_name", "name")
-        .join(known, "name", "left_semi")
-        .join(held, ["name", "group_name"], "left")
-    )
+    # An inner join on purpose: a semi join would move below the aggregation, to all grants.
+    return wanted.join(ours.select("name"), "name").join(held, ["name", "group_name"], "left")
 
 
-def _in_order(condition: Column | None = None) -> Column:
-    """Distinct permissions of a group of targets by first arrival."""
-    pair = F.struct("at", "permission")
-    pairs = F.collect_list(pair if condition is None else F.when(condition, pair))
-    return F.transform(F.array_sort(pairs), lambda p: p["permission"])
+def _by_place() -> Column:
+    """The permissions that have a place, in order of their places."""
+    places = [
+        F.struct(F.col(name).alias("at"), F.lit(name).alias("permission"))
+        for name in PERMISSIONS.values()
+    ]
+    present = F.filter(F.array(*places), lambda p: p["at"].isNotNull())
+    return F.transform(F.array_sort(present), lambda p: p["permission"])
 
 
 def merge_grants(
@@ -176,46 +187,28 @@ def merge_grants(
 
     A group that an item holds gets the permissions its first such item lacks; other groups
     get a new item each, in order of their first grant. A policy without grants is unchanged.
-    What is collected per policy is what its document gains: at most three permissions per
-    item or new group, whatever the number of grants.
+    What is collected per policy is one entry per item of the merged document, whatever the
+    number of grants.
     """
-    targets = grant_targets(policies, grants, service)
-    granted = F.col("permission").isNotNull()
-
-    # Per existing item: the distinct permissions granted to any of its groups.
-    gains = (
-        targets.where(F.col("item").isNotNull() & granted)
-        .groupBy("name", "item", "permission")
-        .agg(F.min("at").alias("at"))
-        .groupBy("name", "item")
-        .agg(_in_order().alias("gain"))
-    )
-    # One gain per item of the policy, so that both lists line up.
+    new_group = F.when(F.col("item").isNull(), F.col("group_name"))
+    targets = grant_targets(policies, grants, service).withColumn("new_group", new_group)
     items = _named(policies, service).select(
         "name", F.posexplode("policyItems").alias("item", "_doc")
     )
-    aligned = (
-        items.select("name", "item")
-        .join(gains.select("name").distinct(), "name", "left_semi")
-        .join(gains, ["name", "item"], "left")
-        .groupBy("name")
-        .agg(F.array_sort(F.collect_list(F.struct("item", "gain"))).alias("_gains"))
+    entries = targets.drop("group_name").unionByName(
+        items.drop("_doc"), allowMissingColumns=True
     )
-    added = (
-        targets.where(F.col("item").isNull())
-        .groupBy("name", "group_name")
-        .agg(F.min("at").alias("first"), _in_order(granted).alias("permissions"))
+    entry = F.struct(
+        F.col("item").isNull().alias("is_new"), "item", "first", "new_group",
+        _by_place().alias("permissions"),
+    )
+    gains = (
+        _first_places(entries, "name", "item", "new_group")
         .groupBy("name")
-        .agg(
-            F.array_sort(F.collect_list(F.struct("first", "group_name", "permissions"))).alias(
-                "_added"
-            )
-        )
+        .agg(F.array_sort(F.collect_list(entry)).alias("_entries"))
     )
-    merged = policies.join(aligned, "name", "left").join(added, "name", "left")
 
     item_type = policies.schema["policyItems"].dataType.elementType
-    fields = item_type.names
 
     def allow(permissions: Column) -> Column:
         return F.transform(
@@ -225,13 +218,15 @@ def merge_grants(
 
     def extend(item: Column, gain: Column) -> Column:
         accesses = F.coalesce(item["accesses"], F.array().cast(f"array<{ACCESS}>"))
-        lacking = missing_items(gain["gain"], F.transform(accesses, lambda a: a["type"]))
-        return item.withField("accesses", F.concat(accesses, allow(lacking)))
+        lacking = missing_items(gain["permissions"], F.transform(accesses, lambda a: a["type"]))
+        return F.when(F.size(lacking) == 0, item).otherwise(
+            item.withField("accesses", F.concat(accesses, allow(lacking)))
+        )
 
-    def new_item(added: Column) -> Column:
+    def new_item(entry: Column) -> Column:
         known = {
-            "accesses": allow(added["permissions"]),
-            "groups": F.array(added["group_name"]),
+            "accesses": allow(entry["permissions"]),
+            "groups": F.array(entry["new_group"]),
             "users": F.array().cast("array<string>"),
             "delegateAdmin": F.lit(False),
         }
@@ -242,17 +237,21 @@ def merge_grants(
             ]
         )
 
+    old = F.coalesce("policyItems", F.array().cast(policies.schema["policyItems"].dataType))
+    # Entries of existing items come first and in item order, so both lists line up.
+    extended = F.zip_with(old, F.slice("_entries", 1, F.size(old)), extend)
+    added = F.transform(F.filter("_entries", lambda e: e["is_new"]), new_item)
     ours = F.lit(True) if service is None else F.col("service") == service
-    empty = F.array().cast(policies.schema["policyItems"].dataType)
-    extended = F.when(
-        F.col("_gains").isNotNull(), F.zip_with("policyItems", "_gains", extend)
-    ).otherwise(F.coalesce("policyItems", empty))
-    new_items = F.coalesce(F.transform("_added", new_item), empty)
-    touched = ours & (F.col("_gains").isNotNull() | F.col("_added").isNotNull())
-    return merged.withColumn(
-        "policyItems",
-        F.when(touched, F.concat(extended, new_items)).otherwise(F.col("policyItems")),
-    ).select(*policies.columns)
+    return (
+        policies.join(gains, "name", "left")
+        .withColumn(
+            "policyItems",
+            F.when(ours & F.col("_entries").isNotNull(), F.concat(extended, added)).otherwise(
+                F.col("policyItems")
+            ),
+        )
+        .select(*policies.columns)
+    )
 
 
 def plan_policy_upsert(
