@@ -20,10 +20,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """One small file is read by one task; share its rows out where cores would stay idle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One log line per event; a file per day, a chunk per hour, query ids per user."""
     return (
-        table(spark, sf_dir, "events")
+        spread(table(spark, sf_dir, "events"))
         .withColumns(
             {
                 "stamp": F.when(
@@ -177,7 +183,7 @@ def incoming_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grant per line item: many repeats per policy and group, some on no policy at all."""
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(
         "named_struct('o', l_orderkey, 'n', l_linenumber, 'p', l_partkey, 's', l_suppkey) AS row_no",
         "'pol_' || CASE WHEN l_partkey % 10 = 0 THEN l_partkey + 1000000 ELSE l_partkey END "
         "AS policy_name",

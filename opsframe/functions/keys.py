@@ -38,7 +38,7 @@ def parse_object_key(key: Column, layout: str = "flat") -> Column:
     parts = F.split(key, "/")
     n_parts = F.size(parts)
     name = F.when(n_parts >= spec["min_parts"], F.get(parts, F.lit(spec["folder_part"])))
-    day = F.when(name.rlike(DATE_FOLDER_PATTERN), F.try_to_date(name, "yyyy-M-d"))
+    day = F.when(name.rlike(DATE_FOLDER_PATTERN), name.try_cast("date"))
     return F.struct(
         F.when(day.isNotNull(), name).alias("folder"),
         day.cast("timestamp_ntz").alias("folder_ts"),

@@ -35,36 +35,38 @@ def classify_log_lines(lines: DataFrame, max_query_len: int = MAX_QUERY_LEN) ->
     START. ``compile_ms`` is null for an END whose number no bigint can hold.
     """
     line = F.col("line")
-    # One cheap look drops all other lines before the long patterns run.
+    is_start, is_end = F.col("start_id") != "", F.col("end_id") != ""
+    # One cheap look drops all other lines before the long patterns run. Those run once per
+    # line: a filter on plain columns would move below them and run them a second time, it
+    # cannot move below a generator.
     found = lines.where(line.rlike(COMPILE_LINE)).select(
         *_PLACE,
         "source_log",
         line,
-        F.regexp_extract(line, START_PATTERN, 1).alias("start_id"),
-        F.regexp_extract(line, END_PATTERN, 1).alias("end_id"),
+        parse_log_timestamp(line).alias("ts"),
+        F.inline(
+            F.array(
+                F.struct(
+                    F.regexp_extract(line, START_PATTERN, 1).alias("start_id"),
+                    F.regexp_extract(line, END_PATTERN, 1).alias("end_id"),
+                )
+            )
+        ),
     )
-    is_start = F.col("start_id") != ""
-    return (
-        found.where(is_start | (F.col("end_id") != ""))
-        .select(
-            *_PLACE,
-            "source_log",
-            F.when(is_start, START).otherwise(END).alias("kind"),
-            strip_ws(F.when(is_start, F.col("start_id")).otherwise(F.col("end_id"))).alias(
-                "query_id"
-            ),
-            F.when(is_start, strip_ws(F.regexp_extract(line, START_PATTERN, 2))).alias("user"),
-            F.when(
-                is_start,
-                truncate_query(strip_ws(F.regexp_extract(line, START_PATTERN, 3)), max_query_len),
-            ).alias("query"),
-            F.when(~is_start, F.regexp_extract(line, END_PATTERN, 2))
-            .try_cast("bigint")
-            .alias("compile_ms"),
-            parse_log_timestamp(line).alias("ts"),
-        )
-        .withColumn("union_count", count_union_all(F.col("query")))
+    parts = found.where(is_start | is_end).select(
+        *_PLACE,
+        "source_log",
+        "ts",
+        F.when(is_start, START).otherwise(END).alias("kind"),
+        strip_ws(F.when(is_start, F.col("start_id")).otherwise(F.col("end_id"))).alias("query_id"),
+        strip_ws(F.when(is_start, F.regexp_extract(line, START_PATTERN, 2))).alias("user"),
+        strip_ws(F.when(is_start, F.regexp_extract(line, START_PATTERN, 3))).alias("query"),
+        F.when(~is_start, F.regexp_extract(line, END_PATTERN, 2))
+        .try_cast("bigint")
+        .alias("compile_ms"),
     )
+    cut = parts.withColumn("query", truncate_query(F.col("query"), max_query_len))
+    return cut.withColumn("union_count", count_union_all(F.col("query")))
 
 
 def _consuming(events: DataFrame) -> DataFrame:
