@@ -239,7 +239,7 @@ cfg AS (
     CASE p_partkey % 6 WHEN 0 THEN 'ssl_server_keystore_password'
       WHEN 1 THEN 'impala.ssl_private_key_password' WHEN 2 THEN 'Ranger.SSL.KeyStore.Password'
       WHEN 3 THEN 'truststore_password' WHEN 4 THEN 'keystore_path' ELSE 'db_password' END AS key,
-    p_partkey % 6 IN (0, 1, 2) AS wide, p_partkey % 6 IN (0, 2) AS narrow
+    p_name AS value, p_partkey % 6 IN (0, 1, 2) AS wide, p_partkey % 6 IN (0, 2) AS narrow
   FROM part)
 """
 SERVICES = """
@@ -290,6 +290,15 @@ FROM lk WHERE kind = 'START' AND nk IS DISTINCT FROM 'END'""",
         "compile_stats_by_user": USER_STATS,
         "compile_stats_by_hour": HOUR_STATS,
         "log_parse_quality": QUALITY,
+        "write_csv": f"""
+WITH {LOG}, t AS (SELECT *, strftime(start_ts, '%Y-%m-%dT%H:%M:%S.%f') AS s,
+  strftime(end_ts, '%Y-%m-%dT%H:%M:%S.%f') AS e FROM pr)
+SELECT query_id, "user", CAST(compile_time_ms AS VARCHAR) AS compile_time_ms,
+  CAST(union_count AS VARCHAR) AS union_count,
+  CASE WHEN slow_compile THEN 'True' ELSE 'False' END AS slow_compile,
+  CASE WHEN excessive_unions THEN 'True' ELSE 'False' END AS excessive_unions,
+  regexp_replace(s, '[.]000000$', '') AS start_ts, regexp_replace(e, '[.]000000$', '') AS end_ts,
+  query FROM t""",
         "compile_log_report_per_user": USER_STATS,
         "compile_log_report_per_hour": HOUR_STATS,
         "compile_log_report_quality": QUALITY,
@@ -390,6 +399,15 @@ WITH {POL} SELECT id, CASE WHEN service = 'cm_hive' THEN matched ELSE original E
   array_to_string(list_sort(list_distinct([p_type, 'all', p_brand])), '|') AS "groups"
 FROM urls""",
         "scan_policy_list": URLS_ALL,
+        "scan_policy_map": f"WITH {POL} SELECT id, name, service FROM pol",
+        "scan_document_pages": """
+SELECT o_orderkey AS id, 'role_' || CAST(o_orderkey AS VARCHAR) AS name FROM orders""",
+        "scan_grants_csv": MERGE,
+        "scan_config_tree": f"""
+WITH {CONFIG} SELECT scope, cluster, service, role_group, key, value FROM cfg""",
+        "scan_services": f"""
+WITH {SERVICES} SELECT service, CAST((row_number() OVER (PARTITION BY ord // 50 ORDER BY ord) - 1)
+  AS INT) AS place FROM svc""",
         "scan_documents": """
 SELECT 'pol_' || CAST(p_partkey AS VARCHAR) AS name,
   CAST((row_number() OVER (ORDER BY p_partkey) - 1) % 200 AS INT) AS page_row FROM part""",

@@ -20,6 +20,7 @@ from opsframe.operators import (
     retention,
     workload as w,
 )
+from opsframe.schemas import COMPILE_RECORD_COLUMNS
 from opsframe.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +58,12 @@ def _classify(spark, sf):
     return _with_times(events, "ts")
 
 
+def _csv(spark, sf):
+    path = shared_dir(spark, "records-csv")
+    sinks.write_csv(_records(spark, sf), path, COMPILE_RECORD_COLUMNS)
+    return spark.read.csv(path, header=True, escape='"').drop("source_log")
+
+
 def _report(part: str) -> Query:
     def run(spark, sf):
         report = plans.compile_log_report(spark, d.log_files(spark, sf))
@@ -162,8 +169,11 @@ def _roles_entries(spark, sf):
 
 
 def _merge(spark, sf):
-    merged = pol.merge_grants(d.policies(spark, sf), d.grants(spark, sf))
-    return merged.select("name", F.posexplode("policyItems").alias("item", "doc")).select(
+    return _items_as_text(pol.merge_grants(d.policies(spark, sf), d.grants(spark, sf)))
+
+
+def _items_as_text(policies: DataFrame) -> DataFrame:
+    return policies.select("name", F.posexplode("policyItems").alias("item", "doc")).select(
         "name",
         "item",
         _joined("doc.groups").alias("groups"),
@@ -236,6 +246,65 @@ def _policy_pages(spark, sf):
     )
 
 
+def _policy_map(spark, sf):
+    path = shared_dir(spark, "policy-map")
+    rows = d.policies(spark, sf).select("id", F.struct("id", "name", "service").alias("doc"))
+    # Each object names its first policy twice; only the second of the two counts.
+    entries = F.transform(
+        F.array_sort(F.collect_list(F.struct("id", "doc"))),
+        lambda e: F.concat(F.lit('"k'), e["id"], F.lit('": '), F.to_json(e["doc"])),
+    )
+    stale = F.concat(F.lit('"k'), F.min("id"), F.lit('": {"id": -1, "name": "stale"}, '))
+    rows.groupBy(F.floor(F.col("id") / 100).alias("page")).agg(
+        F.concat(F.lit("{"), stale, F.array_join(entries, ", "), F.lit("}")).alias("text")
+    ).select("text").write.text(path)
+    return sources.scan_policy_map(spark, path, lines=True).select("id", "name", "service")
+
+
+def _document_pages(spark, sf):
+    path = shared_dir(spark, "role-pages")
+    roles = d.import_results(spark, sf).select(
+        F.col("index").alias("id"), "name", F.col("index").alias("ord")
+    )
+    sinks.write_documents_json(roles, path, envelope="vList")
+    return sources.scan_document_pages(spark, path).select("id", "name")
+
+
+def _grants_csv(spark, sf):
+    path = shared_dir(spark, "grants")
+    grants = d.grants(spark, sf).repartitionByRange("row_no").sortWithinPartitions("row_no")
+    grants.drop("row_no").write.csv(path, header=True)
+    merged = pol.merge_grants(d.policies(spark, sf), sources.scan_grants_csv(spark, path))
+    return _items_as_text(merged)
+
+
+def _config_tree(spark, sf):
+    path = shared_dir(spark, "config-trees")
+    one = F.struct(F.array(F.struct(F.col("key").alias("name"), "value")).alias("items"))
+    group = F.struct(F.col("role_group").alias("name"), one.alias("config"))
+    service = F.struct(
+        F.col("service").alias("name"),
+        F.when(F.col("scope") == "service", one).alias("config"),
+        F.when(F.col("scope") == "role_group", F.array(group)).alias("roleConfigGroups"),
+    )
+    cluster = F.struct(F.col("cluster").alias("name"), F.array(service).alias("services"))
+    d.config_items(spark, sf).select(F.array(cluster).alias("clusters")).write.json(path)
+    return sources.scan_config_tree(spark, path, lines=True)
+
+
+def _service_lists(spark, sf):
+    path = shared_dir(spark, "service-lists")
+    rows = d.services(spark, sf).groupBy(F.floor(F.col("ord") / 50).alias("page"))
+    items = F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", "service"))),
+        lambda s: F.struct(s["service"].alias("name")),
+    )
+    rows.agg(items.alias("items")).select("items").write.json(path)
+    return sources.scan_services(spark, path, lines=True).select(
+        "service", F.col("ord.pos").alias("place")
+    )
+
+
 # --- ordering ---------------------------------------------------------------------------
 
 
@@ -442,6 +511,7 @@ def all_queries() -> dict[str, Query]:
         "compile_stats_by_user": lambda s, sf: logs.compile_stats_by_user(_records(s, sf)),
         "compile_stats_by_hour": lambda s, sf: logs.compile_stats_by_hour(_records(s, sf)),
         "log_parse_quality": lambda s, sf: logs.log_parse_quality(_events(s, sf)),
+        "write_csv": _csv,
         "compile_log_report_per_user": _report("per_user"),
         "compile_log_report_per_hour": _report("per_hour"),
         "compile_log_report_quality": _report("quality"),
@@ -504,6 +574,9 @@ def all_queries() -> dict[str, Query]:
         "migrate_policies": _migrate,
         "scan_policy_list": _policy_files,
         "scan_documents": _policy_pages,
+        "scan_policy_map": _policy_map,
+        "scan_document_pages": _document_pages,
+        "scan_grants_csv": _grants_csv,
         "chunk_rows": _chunks,
         "with_index": _index,
         "first_per_key": _first,
@@ -522,6 +595,8 @@ def all_queries() -> dict[str, Query]:
         "retention_delete_counts": _delete_counts,
         # configuration
         "config_change_plan": lambda s, sf: plans.config_change_plan(d.config_items(s, sf)),
+        "scan_config_tree": _config_tree,
+        "scan_services": _service_lists,
         "config_updates_by_scope": _scope_maps,
         "is_password_key": _password_keys,
         "normalize_service_name": _normalized,

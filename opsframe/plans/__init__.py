@@ -1,13 +1,10 @@
 """Jobs: the operators composed into the reports and plans that users run."""
 
 from opsframe.plans.catalog import copy_table, inventory_report
+from opsframe.plans.configs import config_change_plan
 from opsframe.plans.logs import CompileLogReport, compile_log_report
 from opsframe.plans.objects import retention_plan
-from opsframe.plans.policies import (
-    config_change_plan,
-    migrate_policies,
-    policy_upsert_report,
-)
+from opsframe.plans.policies import migrate_policies, policy_upsert_report
 from opsframe.plans.workload import queue_report, workload_report
 
 __all__ = [

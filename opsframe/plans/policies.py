@@ -1,4 +1,4 @@
-"""Policy migration, upsert report and configuration change plan."""
+"""Policy migration and upsert report."""
 
 from __future__ import annotations
 
@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from opsframe.operators.configs import config_updates
 from opsframe.operators.ordering import chunk_rows
 from opsframe.operators.policies import (
     POLICY_BATCH,
@@ -53,9 +52,3 @@ def policy_upsert_report(
             F.count_if(F.col("action") == "fail").alias("failed"),
         )
     )
-
-
-def config_change_plan(items: DataFrame, wide: bool = True, dry_run: bool = True) -> DataFrame:
-    """Secret settings to change by scope, with the action; the new value is always masked."""
-    action = "would_update" if dry_run else "update"
-    return config_updates(items, wide).withColumn("action", F.lit(action))

@@ -31,7 +31,8 @@ def local_session(cpus: int | str = "*", app: str = "opsframe", **conf: str) ->
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder all executors see.
 
-    Only a local session may go without that setting: it then gets a folder of its own.
+    Everything an application leaves there is below one folder with its id. Only a local
+    session may go without the setting: it then gets a folder of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
@@ -39,7 +40,8 @@ def shared_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
         base = tempfile.mkdtemp(prefix="opsframe-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/opsframe/{label}-{uuid.uuid4().hex}"
+    application = spark.sparkContext.applicationId
+    return f"{base.rstrip('/')}/opsframe-{application}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

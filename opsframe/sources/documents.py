@@ -88,9 +88,14 @@ def scan_policy_list(
     return _rows(texts, F.when(_is_list(text), _list_of(text, ddl)).otherwise(not_list))
 
 
-def scan_policy_map(spark: SparkSession, path: str, ddl: str = POLICY_DDL) -> DataFrame:
-    """The values of a JSON object; a repeated key keeps its first place and its last value."""
-    texts = _texts(spark, path, lines=False)
+def scan_policy_map(
+    spark: SparkSession, path: str, ddl: str = POLICY_DDL, lines: bool = False
+) -> DataFrame:
+    """The values of a JSON object; a repeated key keeps its first place and its last value.
+
+    ``lines`` reads one object per line.
+    """
+    texts = _texts(spark, path, lines)
     entries = F.from_json("text", f"MAP<STRING, STRUCT<{ddl}>>")
     return (
         texts.select(

@@ -8,7 +8,7 @@ the order of ``line_no`` means something, and only inside one ``(file_rank, bloc
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote
+from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,20 +26,27 @@ def _one_slash(uri: str) -> str:
     return uri.replace("file:///", "file:/", 1)
 
 
+def _ranked_files(spark: SparkSession, paths: list[str]) -> list[tuple[str, str]]:
+    """``(uri, name to show)`` of all files in rank order; plain files show as given."""
+    listed = {urlparse(unquote(u)).path: u for u in spark.read.text(paths).inputFiles()}
+    if len(listed) == len(paths) and all(urlparse(p).path in listed for p in paths):
+        return [(_one_slash(listed[urlparse(p).path]), p) for p in paths]
+    return [
+        (_one_slash(uri), unquote(uri))
+        for path in paths
+        for uri in sorted(spark.read.text(path).inputFiles())
+    ]
+
+
 def scan_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Lines of plain or ``.gz`` logs: ``file_rank, block, line_no, line, source_log``.
 
     Files rank in argument order; those of one folder or pattern rank by path.
     """
     paths = [paths] if isinstance(paths, str) else list(paths)
-    if not paths:
-        raise ValueError("no log paths given")
-    files = []
-    for path in paths:
-        listed = sorted(spark.read.text(path).inputFiles())
-        for uri in listed:
-            single = len(listed) == 1 and unquote(uri).endswith(path)
-            files.append((_one_slash(uri), path if single else unquote(uri)))
+    if not paths or len(set(paths)) < len(paths):
+        raise ValueError("log paths must be given, each of them once")
+    files = _ranked_files(spark, paths)
     ranks = spark.createDataFrame(
         pa.table(
             {

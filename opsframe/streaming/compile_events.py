@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from opsframe.operators.logs import (
     COMPILE_THRESHOLD_MS,
@@ -23,7 +24,6 @@ from opsframe.operators.logs import (
     with_compile_flags,
 )
 from opsframe.schemas import COMPILE_RECORD_COLUMNS
-from opsframe.session import staged
 
 RECORD_DDL = (
     "query_id STRING, user STRING, compile_time_ms BIGINT, union_count INT, "
@@ -67,7 +67,13 @@ def stream_compile_records(
         if "line_no" not in lines.columns:
             lines = lines.withColumn("line_no", F.monotonically_increasing_id())
         fresh = classify_log_lines(lines, max_query_len).withColumn("file_rank", place)
-        fresh = staged(fresh.select(*_names(EVENT_DDL)), "stream-events")
+        fresh = fresh.select(*_names(EVENT_DDL)).persist()
+        try:
+            emit(fresh, batch)
+        finally:
+            fresh.unpersist()
+
+    def emit(fresh: DataFrame, batch: int) -> None:
         events = fresh
         if batch > 0:
             events = spark.read.schema(EVENT_DDL).parquet(f"{out}/open/batch={batch - 1}")
@@ -101,8 +107,6 @@ def stream_compile_records(
 
 def _names(ddl: str) -> list[str]:
     """Top-level column names of a DDL text."""
-    from pyspark.sql.types import StructType
-
     return StructType.fromDDL(ddl).names
 
 
