@@ -18,14 +18,15 @@ def parse_log_timestamp(line: Column) -> Column:
 
 
 def hour_key(ts: Column) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd HH")
+    """``2024-01-31 23``, from the text form, which knows no zone."""
+    return F.substring(ts.cast("string"), 1, len("yyyy-MM-dd HH"))
 
 
 def iso_ts(ts: Column) -> Column:
     """ISO-8601 text, with six decimals only where the fraction is not zero."""
-    whole = F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss")
-    micros = F.date_format(ts, "SSSSSS")
-    return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+    text = F.replace(ts.cast("string"), F.lit(" "), F.lit("T"))
+    padded = F.rpad(text, len("yyyy-MM-ddTHH:mm:ss.SSSSSS"), "0")
+    return F.when(text.contains("."), padded).otherwise(text)
 
 
 def months_before(now: str | datetime, months: int) -> datetime:

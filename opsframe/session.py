@@ -56,8 +56,11 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def as_instant(now: str | date | datetime | Column) -> Column:
-    """``now`` as a zone-free timestamp; an aware datetime becomes its UTC wall time."""
+def as_instant(now: str | date | datetime | Column | None) -> Column:
+    """``now`` as a zone-free timestamp; an aware datetime becomes its UTC wall time.
+
+    Goes by way of text: a datetime literal would be read in the zones of Python and session.
+    """
     if isinstance(now, Column):
         return now
     if isinstance(now, datetime):

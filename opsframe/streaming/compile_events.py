@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from opsframe.functions import hour_key
 from opsframe.operators.logs import (
     COMPILE_THRESHOLD_MS,
     MAX_QUERY_LEN,
@@ -24,6 +25,7 @@ from opsframe.operators.logs import (
     with_compile_flags,
 )
 from opsframe.schemas import COMPILE_RECORD_COLUMNS
+from opsframe.session import as_instant
 
 RECORD_DDL = (
     "query_id STRING, user STRING, compile_time_ms BIGINT, union_count INT, "
@@ -86,9 +88,9 @@ def stream_compile_records(
 
         waiting = open_starts(events).where("status = 'unfinished'")
         if ttl_s is not None:
-            newest = events.agg(F.max("ts")).first()[0]
-            limit = F.lit(newest).cast("timestamp_ntz") - F.make_dt_interval(secs=F.lit(ttl_s))
-            aged = waiting.withColumn("ts", F.coalesce("ts", F.lit(newest).cast("timestamp_ntz")))
+            newest = as_instant(events.agg(F.max("ts")).first()[0])
+            limit = newest - F.make_dt_interval(secs=F.lit(ttl_s))
+            aged = waiting.withColumn("ts", F.coalesce("ts", newest))
             gone = F.coalesce(F.col("ts") < limit, F.lit(False))
             aged.where(gone).select(
                 "query_id",
@@ -121,13 +123,18 @@ def stream_unfinished(spark: SparkSession, out: str) -> DataFrame:
 
 
 def stream_compile_stats_by_hour(records_stream: DataFrame, watermark: str = "1 hour") -> DataFrame:
-    """Hourly windows by start time, else end time; records with neither are left out."""
+    """Hourly windows by start time, else end time; records with neither are left out.
+
+    A watermark needs an instant: the zone-free times are taken as UTC.
+    """
     at = F.coalesce("start_ts", "end_ts")
     totals = (
-        records_stream.withColumn("at", at.cast("timestamp"))
+        records_stream.withColumns(
+            {"at": F.concat(at.cast("string"), F.lit("Z")).cast("timestamp"), "hour": hour_key(at)}
+        )
         .where("at IS NOT NULL")
         .withWatermark("at", watermark)
-        .groupBy(F.window("at", "1 hour").alias("hour"))
+        .groupBy(F.window("at", "1 hour"), "hour")
         .agg(
             F.count(F.lit(1)).alias("total_queries"),
             F.count_if("slow_compile").alias("slow_queries"),
@@ -135,7 +142,7 @@ def stream_compile_stats_by_hour(records_stream: DataFrame, watermark: str = "1
         )
     )
     return totals.select(
-        F.date_format("hour.start", "yyyy-MM-dd HH").alias("hour"),
+        "hour",
         "total_queries",
         "slow_queries",
         "sum_compile_ms",

@@ -54,10 +54,18 @@ def test_log_timestamp(spark, line, expected):
     assert value(spark, fn.parse_log_timestamp(F.col("l")), l=line) == expected
 
 
-def test_iso_text_has_a_fraction_only_when_needed(spark):
-    for text in ["2024-11-14 10:12:34.567", "2024-11-14 10:12:34"]:
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+@pytest.mark.parametrize(
+    "text", ["2024-11-14 10:12:34.567", "2024-11-14 10:12:34", "2024-03-10 02:30:00.000001"]
+)
+def test_time_texts_know_no_zone(spark, zone, text):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
         ts = F.lit(text).cast("timestamp_ntz")
         assert value(spark, fn.iso_ts(ts)) == dt.datetime.fromisoformat(text).isoformat()
+        assert value(spark, fn.hour_key(ts)) == text[:13]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 @pytest.mark.parametrize(
