@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from opsframe.functions import split_part
+from opsframe.operators.ordering import salted_join
 
 Metastore = Mapping[str, DataFrame]
 
@@ -86,10 +87,10 @@ def partition_key_mismatch(ms: Metastore, dbs: Sequence[str] | None = None) -> D
         .join(ms["PARTITION_KEYS"].select("TBL_ID", "PKEY_NAME"), "TBL_ID")
     )
     named = ms["PARTITIONS"].select(
-        "TBL_ID", split_part(F.col("PART_NAME"), "=", 1).alias("part_key")
+        "TBL_ID", "PART_ID", split_part(F.col("PART_NAME"), "=", 1).alias("part_key")
     )
     return (
-        named.join(declared, "TBL_ID")
+        salted_join(named, declared, ["TBL_ID"], spread_by="PART_ID")
         .where(F.col("part_key") != F.col("PKEY_NAME"))
         .select("TBL_ID", "DB_NAME", "TBL_NAME", "part_key", "PKEY_NAME")
     )

@@ -11,6 +11,11 @@ from opsframe.session import staged
 # monotonically_increasing_id keeps the partition above this bit and the row below it.
 _ROW_BITS = 33
 
+# When a join key counts as hot, how many of them at most, and over how many tasks each goes.
+HOT_ROWS = 1_000_000
+MAX_HOT_KEYS = 1000
+SALTS = 64
+
 
 def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Adds ``position``: the 0-based place of a row by ``order`` inside its ``by`` group.
@@ -79,6 +84,36 @@ def first_per_key(
     )
 
 
+def salted_join(
+    big: DataFrame,
+    small: DataFrame,
+    keys: Sequence[str],
+    spread_by: str,
+    how: str = "inner",
+    hot_rows: int | None = None,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Equi-join that shares the rows of hot keys of ``big`` out over ``salts`` tasks.
+
+    Hot are the ``MAX_HOT_KEYS`` keys with the most rows, as far as they have more than
+    ``hot_rows``; any other key has less than one row in that many. The list of them is so
+    bounded that it can be broadcast. Rows of ``small`` are repeated for hot keys alone.
+    ``spread_by`` tells the rows of ``big`` apart. ``how`` is inner, left, left_semi or left_anti.
+    """
+    keys = list(keys)
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    above = counts.where(F.col("_n") > (HOT_ROWS if hot_rows is None else hot_rows))
+    hot = F.broadcast(
+        top_k(above, MAX_HOT_KEYS, F.desc("_n")).select(*keys, F.lit(True).alias("_hot"))
+    )
+    is_hot = F.col("_hot").isNotNull()
+    salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0).cast("int")
+    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    left = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def top_k(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first ``k`` rows; each task keeps ``k`` rows, nothing is sorted as a whole."""
     return df.orderBy(*order).limit(k)

@@ -14,7 +14,7 @@ from opsframe.functions import (
     sorted_distinct,
 )
 from opsframe.functions.text import PERMISSIONS
-from opsframe.operators.ordering import top_k
+from opsframe.operators.ordering import salted_join, top_k
 from opsframe.schemas import ACCESS
 
 # Services, the path rewrite, batch and page sizes, success states.
@@ -126,7 +126,9 @@ def unmatched_grants(
 ) -> DataFrame:
     """Grants that name no policy of the service."""
     names = _named(policies, service).select(F.col("name").alias("policy_name"))
-    return grants.join(names, "policy_name", "left_anti")
+    return salted_join(grants, names, ["policy_name"], spread_by="row_no", how="left_anti").select(
+        *grants.columns
+    )
 
 
 def _first_places(df: DataFrame, *keys: str) -> DataFrame:
@@ -190,6 +192,9 @@ def merge_grants(
     What is collected per policy is one entry per item of the merged document, whatever the
     number of grants.
     """
+    # New accesses and items may be null in places, so the columns have to allow it.
+    item_list = policies.schema["policyItems"].dataType.simpleString()
+    policies = policies.withColumn("policyItems", F.col("policyItems").cast(item_list))
     new_group = F.when(F.col("item").isNull(), F.col("group_name"))
     targets = grant_targets(policies, grants, service).withColumn("new_group", new_group)
     items = _named(policies, service).select(
@@ -267,29 +272,22 @@ def plan_policy_upsert(
     and later ones meet it as existing. With ``override`` a match that has an id is updated;
     the id of one just created is not known yet and stays null.
     """
-    key = ["service", "name"]
-    matches = existing.groupBy(*key).agg(
+    # As a struct the key also matches where a part of it is null.
+    key = F.struct("service", "name").alias("_key")
+    matches = existing.groupBy(key).agg(
         F.struct(F.min_by("id", existing_order).alias("id")).alias("_match")
     )
-    firsts = incoming.groupBy(*key).agg(F.min(order).alias("_first"))
-    plan = firsts.alias("f").join(
-        matches.alias("m"),
-        F.col("f.service").eqNullSafe(F.col("m.service"))
-        & F.col("f.name").eqNullSafe(F.col("m.name")),
-        "left",
-    ).select("f.service", "f.name", "_first", "_match")
-    joined = incoming.alias("i").join(
-        plan.alias("p"),
-        F.col("i.service").eqNullSafe(F.col("p.service"))
-        & F.col("i.name").eqNullSafe(F.col("p.name")),
-    )
+    plan = incoming.groupBy(key).agg(F.min(order).alias("_first")).join(matches, "_key", "left")
+    joined = salted_join(incoming.withColumn("_key", key), plan, ["_key"], spread_by=order)
     found = F.col("_match").isNotNull()
     found_id = F.nullif(F.col("_match.id"), F.lit(0).cast("bigint"))
-    creates = ~found & (F.col(f"i.{order}") == F.col("_first"))
+    creates = ~found & (F.col(order) == F.col("_first"))
     updates = F.lit(override) & (~found | found_id.isNotNull())
     action = F.when(creates, "create").when(updates, "update").otherwise("fail")
     return joined.select(
-        "i.*", action.alias("action"), F.when(~creates & updates, found_id).alias("target_id")
+        *incoming.columns,
+        action.alias("action"),
+        F.when(~creates & updates, found_id).alias("target_id"),
     )
 
 

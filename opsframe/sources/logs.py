@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 REPLACEMENT = "\ufffd"
+MAX_BROADCAST_FILES = 1_000_000
 
 
 def _text(value: Column) -> Column:
@@ -62,7 +63,9 @@ def scan_log_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
         F.monotonically_increasing_id().alias("line_no"),
         _text(F.col("value")).alias("line"),
     )
-    # One row per file: the size of the ranks is known, so a broadcast is Spark's choice.
+    # One short row per file of a list that the driver holds; all lines would move otherwise.
+    if len(files) <= MAX_BROADCAST_FILES:
+        ranks = F.broadcast(ranks)
     return lines.join(ranks, "file_path").select(
         "file_rank", "block", "line_no", "line", "source_log"
     )
