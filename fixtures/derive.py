@@ -10,6 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opsframe.session import shared_dir
 
+SERVICE = (
+    "CASE p_size % 3 WHEN 0 THEN 'cm_hive' WHEN 1 THEN 'cm_hdfs' ELSE 'cm_kafka' END AS service"
+)
 NOW_WORKLOAD = "2024-01-31 00:00:00"
 NOW_ROWS = "2024-02-15 00:00:00"
 NOW_OBJECTS = "2001-08-01 12:00:00"
@@ -137,12 +140,13 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").selectExpr(
         "p_partkey AS id",
         "'pol_' || p_partkey AS name",
-        "CASE p_size % 3 WHEN 0 THEN 'cm_hive' WHEN 1 THEN 'cm_hdfs' ELSE 'cm_kafka' END AS service",
+        SERVICE,
         """CASE WHEN p_partkey % 5 <> 0 THEN map('url', named_struct('values',
              CASE WHEN p_partkey % 7 = 0 THEN array('/datafiles/' || p_type)
                   ELSE array('/schemas/' || p_type || '.db', '/datafiles/' || p_type,
                              '/x/' || p_brand || '.db') END))
-           ELSE map('path', named_struct('values', array('/schemas/' || p_brand))) END AS resources""",
+           ELSE map('path', named_struct('values', array('/schemas/' || p_brand)))
+           END AS resources""",
         """array(
              named_struct('accesses', array(named_struct('type', 'read', 'isAllowed', true)),
                           'users', array('admin'), 'groups', array(p_type, 'all'),
@@ -162,7 +166,7 @@ def existing_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = part.selectExpr(
         "CASE WHEN p_partkey % 22 <> 0 THEN p_partkey + 100000 END AS id",
         "CASE WHEN p_partkey % 2 = 0 THEN 'pol_' ELSE 'old_' END || p_partkey AS name",
-        "CASE p_size % 3 WHEN 0 THEN 'cm_hive' WHEN 1 THEN 'cm_hdfs' ELSE 'cm_kafka' END AS service",
+        SERVICE,
         "p_partkey AS ord",
     )
     later = base.withColumns(
@@ -177,14 +181,15 @@ def incoming_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
         "p_partkey AS ord",
         "'pol_' || CASE WHEN p_partkey % 8 IN (1, 2) THEN p_partkey - p_partkey % 8 + 1 "
         "ELSE p_partkey END AS name",
-        "CASE p_size % 3 WHEN 0 THEN 'cm_hive' WHEN 1 THEN 'cm_hdfs' ELSE 'cm_kafka' END AS service",
+        SERVICE,
     )
 
 
 def grants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A grant per line item: many repeats per policy and group, some on no policy at all."""
     return spread(table(spark, sf_dir, "lineitem")).selectExpr(
-        "named_struct('o', l_orderkey, 'n', l_linenumber, 'p', l_partkey, 's', l_suppkey) AS row_no",
+        "named_struct('o', l_orderkey, 'n', l_linenumber, 'p', l_partkey, 's', l_suppkey) "
+        "AS row_no",
         "'pol_' || CASE WHEN l_partkey % 10 = 0 THEN l_partkey + 1000000 ELSE l_partkey END "
         "AS policy_name",
         "CASE WHEN l_suppkey % 3 = 0 THEN 'all' ELSE 'grp' || (l_suppkey % 4) END AS group_name",

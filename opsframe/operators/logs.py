@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from opsframe.functions import (
     count_union_all,
@@ -13,7 +13,8 @@ from opsframe.functions import (
 )
 
 # The patterns that a START and an END line must match, and the defaults.
-COMPILE_LINE = r"(?iU)compiling command\(queryId="
+# Part of both patterns, in letters that no other letter equals in any case.
+COMPILE_WORDS = "ng command(query"
 START_PATTERN = (
     r"(?isU)Compiling command\(queryId=([^)]+)\).*?user=([^;]+);.*?query=(.*)$"
 )
@@ -35,35 +36,51 @@ def classify_log_lines(lines: DataFrame, max_query_len: int = MAX_QUERY_LEN) ->
     START. ``compile_ms`` is null for an END whose number no bigint can hold.
     """
     line = F.col("line")
-    is_start, is_end = F.col("start_id") != "", F.col("end_id") != ""
-    # One cheap look drops all other lines before the long patterns run. Those run once per
-    # line: a filter on plain columns would move below them and run them a second time, it
-    # cannot move below a generator.
-    found = lines.where(line.rlike(COMPILE_LINE)).select(
-        *_PLACE,
-        "source_log",
-        line,
-        parse_log_timestamp(line).alias("ts"),
-        F.inline(
-            F.array(
-                F.struct(
-                    F.regexp_extract(line, START_PATTERN, 1).alias("start_id"),
-                    F.regexp_extract(line, END_PATTERN, 1).alias("end_id"),
+    is_start = F.col("start_id") != ""
+
+    def group(pattern: str, n: int) -> Column:
+        return F.regexp_extract(line, pattern, n)
+
+    # A cheap look drops nearly all lines before the long patterns run. Those run once for
+    # each part of a line: a filter on plain columns would move below them and run them a
+    # second time, it cannot move below a generator.
+    parts = (
+        lines.where(F.lower(line).contains(COMPILE_WORDS))
+        .select(
+            *_PLACE,
+            "source_log",
+            line,
+            F.inline(F.array(F.struct(group(START_PATTERN, 1).alias("start_id")))),
+        )
+        .select(
+            *_PLACE,
+            "source_log",
+            F.when(is_start, START).otherwise(END).alias("kind"),
+            F.inline(
+                F.array(
+                    F.struct(
+                        F.when(is_start, F.col("start_id"))
+                        .otherwise(group(END_PATTERN, 1))
+                        .alias("query_id"),
+                        F.when(is_start, group(START_PATTERN, 2)).alias("user"),
+                        F.when(is_start, group(START_PATTERN, 3)).alias("query"),
+                        F.when(~is_start, group(END_PATTERN, 2)).alias("compile_text"),
+                        parse_log_timestamp(line).alias("ts"),
+                    )
                 )
-            )
-        ),
-    )
-    parts = found.where(is_start | is_end).select(
-        *_PLACE,
-        "source_log",
-        "ts",
-        F.when(is_start, START).otherwise(END).alias("kind"),
-        strip_ws(F.when(is_start, F.col("start_id")).otherwise(F.col("end_id"))).alias("query_id"),
-        strip_ws(F.when(is_start, F.regexp_extract(line, START_PATTERN, 2))).alias("user"),
-        strip_ws(F.when(is_start, F.regexp_extract(line, START_PATTERN, 3))).alias("query"),
-        F.when(~is_start, F.regexp_extract(line, END_PATTERN, 2))
-        .try_cast("bigint")
-        .alias("compile_ms"),
+            ),
+        )
+        .where("query_id <> ''")
+        .select(
+            *_PLACE,
+            "source_log",
+            "kind",
+            strip_ws(F.col("query_id")).alias("query_id"),
+            strip_ws(F.col("user")).alias("user"),
+            strip_ws(F.col("query")).alias("query"),
+            F.col("compile_text").try_cast("bigint").alias("compile_ms"),
+            "ts",
+        )
     )
     cut = parts.withColumn("query", truncate_query(F.col("query"), max_query_len))
     return cut.withColumn("union_count", count_union_all(F.col("query")))

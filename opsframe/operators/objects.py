@@ -133,6 +133,6 @@ def endpoint_for(
         met = name.contains(token) if how == "contains" else name == token
         site = F.when(met, place).otherwise(site)
     if missing == "error":
-        unknown = F.raise_error(F.concat(F.lit("no site for cluster "), F.coalesce(name, F.lit("null"))))
-        site = F.coalesce(site, unknown)
+        shown = F.concat(F.lit("no site for cluster "), F.coalesce(name, F.lit("null")))
+        site = F.coalesce(site, F.raise_error(shown))
     return df.withColumn("site", site)

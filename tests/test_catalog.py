@@ -1,10 +1,12 @@
 import random
 from collections import Counter
+from unittest.mock import MagicMock
 
 import pytest
 
 from opsframe.operators import catalog
 from opsframe.plans import copy_table, inventory_report
+from opsframe.sinks import write_jdbc
 from opsframe.sources import scan_metastore, scan_parquet, scan_table
 
 DDL = {
@@ -105,3 +107,38 @@ def test_jdbc_copy_hands_spark_the_target(spark, monkeypatch):
     options = {"url": "jdbc:x://h/db", "driver": "d", "user": "hive"}
     copy_table(spark, "jdbc_src", "db.t", jdbc=options)
     assert seen == {"table": "db.t", "mode": "overwrite", **options}
+
+
+def test_jdbc_reads_are_split_on_the_id():
+    spark = MagicMock()
+    reader = spark.read.format.return_value.options.return_value
+    reader.option.return_value.load.return_value.first.return_value = (5, 90)
+    tables = scan_metastore(spark, {"url": "jdbc:x://h/ms"}, num_partitions=8)
+    assert list(tables) == list(DDL)
+    split = reader.option.return_value.options
+    assert split.call_args_list[0].kwargs == {
+        "partitionColumn": '"DB_ID"',
+        "lowerBound": 5,
+        "upperBound": 91,
+        "numPartitions": 8,
+    }
+    asked = [call.args for call in reader.option.call_args_list[:2]]
+    assert asked == [
+        ("query", 'SELECT min("DB_ID") AS lo, max("DB_ID") AS hi FROM "DBS"'),
+        ("dbtable", '"DBS"'),
+    ]
+
+
+def test_jdbc_sink_options():
+    frame = MagicMock()
+    write_jdbc(frame, "jdbc:x://h/db", "db.t", "d", "u", mode="append", numPartitions="4")
+    frame.write.format.assert_called_once_with("jdbc")
+    assert frame.write.format.return_value.options.call_args.kwargs == {
+        "url": "jdbc:x://h/db",
+        "dbtable": "db.t",
+        "driver": "d",
+        "user": "u",
+        "numPartitions": "4",
+    }
+    with pytest.raises(ValueError):
+        write_jdbc(frame, "u", "t", "d", "u", mode="merge")

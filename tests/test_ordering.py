@@ -66,7 +66,8 @@ def test_empty_input(spark):
 
 
 def test_first_per_key(spark):
-    frame = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")], "g STRING, o INT, v STRING")
+    rows = [("a", 2, "x"), ("a", 1, "y"), ("b", 5, "z")]
+    frame = spark.createDataFrame(rows, "g STRING, o INT, v STRING")
     first = {r["g"]: r["v"] for r in ordering.first_per_key(frame, ["g"], "o").collect()}
     assert first == {"a": "y", "b": "z"}
     last = {r["g"]: r["v"] for r in ordering.first_per_key(frame, ["g"], "o", last=True).collect()}

@@ -14,9 +14,11 @@ def texts(n, seed=2):
         query_id = "hot" if rng.random() < 0.35 else f"q{rng.randrange(60)}"
         time = f"2024-01-0{1 + i * 3 // n} {i % 24:02d}:00:00,000 " if i % 7 else ""
         if rng.random() < 0.5:
-            lines.append(f"{time}Compiling command(queryId={query_id}): user=u; query=t{i}")
+            begun = f"Compiling command(queryId={query_id}): user=u; query=t{i}"
+            lines.append(time + begun)
         else:
-            lines.append(f"{time}Completed compiling command(queryId={query_id}); compileTime={i}ms")
+            done = f"Completed compiling command(queryId={query_id}); compileTime={i}ms"
+            lines.append(time + done)
     return lines
 
 
@@ -81,10 +83,12 @@ def test_a_restart_goes_on_and_repeats_nothing(spark, log, folder, tmp_path):
 
 def test_old_starts_are_given_up(spark, tmp_path, folder):
     def start(day, query_id):
-        return f"2024-01-{day} 00:00:00,000 Compiling command(queryId={query_id}): user=u; query=x"
+        begun = f"Compiling command(queryId={query_id}): user=u; query=x"
+        return f"2024-01-{day} 00:00:00,000 {begun}"
 
     def end(day, query_id):
-        return f"2024-01-{day} 00:00:00,000 Completed compiling command(queryId={query_id}); compileTime=1ms"
+        done = f"Completed compiling command(queryId={query_id}); compileTime=1ms"
+        return f"2024-01-{day} 00:00:00,000 {done}"
 
     log = tmp_path / "log"
     write(log, "1.log", [start("01", "old"), start("01", "done"), end("01", "done")], 1_700_000_000)
