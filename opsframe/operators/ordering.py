@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -107,7 +108,10 @@ def salted_join(
         top_k(above, MAX_HOT_KEYS, F.desc("_n")).select(*keys, F.lit(True).alias("_hot"))
     )
     is_hot = F.col("_hot").isNotNull()
-    salt = F.when(is_hot, F.pmod(F.xxhash64(spread_by), F.lit(salts))).otherwise(0).cast("int")
+    # A null key matches nothing, so its rows may go anywhere.
+    no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
+    spread = F.pmod(F.xxhash64(spread_by), F.lit(salts))
+    salt = F.when(is_hot | no_key, spread).otherwise(0).cast("int")
     every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     left = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
     right = small.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")

@@ -152,3 +152,19 @@ def test_one_hot_folder_is_counted_by_partial_sums(skewed):
         "2024-01-02": ROWS - ROWS // 3,
     }
     assert "partial_count" in plan
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_salted_join_equals_the_plain_one(skewed, how):
+    big = hot_rows(skewed, 3, F.when(F.col("id") % 3 == 1, F.col("id") % 700)).selectExpr(
+        "key AS k", "id"
+    )
+    small = skewed.range(0, 500, 3).selectExpr("id AS k", "id * 2 AS v").unionAll(
+        skewed.range(3, 4).selectExpr("id AS k", "-1L AS v")
+    )
+    salted = ordering.salted_join(big, small, ["k"], "id", how)
+    plain = big.join(small, "k", how)
+    assert salted.columns == plain.columns
+    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+    if how == "left_anti":
+        assert largest_task(salted.where("k IS NULL")) < ROWS // 3 // 5
