@@ -9,6 +9,10 @@ from datetime import date, datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
+_CHECKPOINT_DIR = "spark.checkpoint.dir"
+_SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def local_session(cpus: int | str = "*", app: str = "opsframe", **conf: str) -> SparkSession:
     """A local session as used by the tests and the bench."""
     builder = (
@@ -28,18 +32,27 @@ def local_session(cpus: int | str = "*", app: str = "opsframe", **conf: str) ->
     return spark
 
 
+def use_local_checkpoint_dir(spark: SparkSession) -> None:
+    """Names a folder for intermediate tables in a local session that names none.
+
+    For tests, benches and smoke runs. A cluster has to name one that all executors reach.
+    """
+    if _checkpoint_dir(spark) is None and spark.sparkContext.master.startswith("local["):
+        spark.conf.set(_CHECKPOINT_DIR, tempfile.mkdtemp(prefix="opsframe-"))
+
+
+def _checkpoint_dir(spark: SparkSession) -> str | None:
+    return spark.conf.get(_CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh path below ``spark.checkpoint.dir``, the folder all executors see.
 
-    Everything an application leaves there is below one folder with its id. Only a local
-    session may go without the setting: it then gets a folder of its own.
+    Everything an application leaves there is below one folder with its id.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = _checkpoint_dir(spark)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        base = tempfile.mkdtemp(prefix="opsframe-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
     application = spark.sparkContext.applicationId
     return f"{base.rstrip('/')}/opsframe-{application}/{label}-{uuid.uuid4().hex}"
 
@@ -47,15 +60,33 @@ def shared_dir(spark: SparkSession, label: str) -> str:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
-    Cuts the lineage, so that later branches agree on every row (positions given by a range
-    shuffle among them) and a lost executor costs a re-read rather than a re-run.
+    Cuts the lineage, so that later branches agree on every row and a lost executor costs a
+    re-read rather than a re-run. The shuffle files behind it go as soon as it is written.
     """
     spark = df.sparkSession
     path = shared_dir(spark, label)
-    df.write.mode("error").parquet(path)
+    before = spark.conf.get(_SHUFFLE_CLEANUP, None)
+    spark.conf.set(_SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.mode("error").parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_SHUFFLE_CLEANUP)
+        else:
+            spark.conf.set(_SHUFFLE_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete what ``staged`` wrote for these tables; nothing may read them afterwards."""
+    for table in tables:
+        spark = table.sparkSession
+        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
+        for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def as_instant(now: str | date | datetime | Column | None) -> Column:
     """``now`` as a zone-free timestamp; an aware datetime becomes its UTC wall time.
 

@@ -7,9 +7,11 @@ import pytest
 
 import __spark_entry__ as contract
 from check_oracle import canonical
+from fixtures.oracle import all_sql
+from fixtures.queries import all_queries
 
 SF_DIR = "/root/testdata/sf0.001"
-QUERIES, SQL = contract.queries(), contract.oracle_sql()
+QUERIES, SQL = all_queries(), all_sql()
 
 
 @pytest.fixture(scope="module")
@@ -25,6 +27,11 @@ def test_every_sql_has_a_query():
     assert set(QUERIES) - set(SQL) == {"sample_rows"}
 
 
+def test_the_contract_holds_every_query():
+    assert set(QUERIES) <= set(contract.queries())
+    assert set(SQL) <= set(contract.oracle_sql())
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
