@@ -90,7 +90,71 @@ SELECT doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles,
 FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
+TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (
+  SELECT q.vec_id AS query_id, d.vec_id,
+    CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM p
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id)
+QUALIFY row_number() OVER w <= 5
+"""
+
+_CONTRACT_WORDS = """regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, coalesce({_CONTRACT_WORDS}, []) AS w FROM documents),
+b AS (
+  SELECT item_id, w, least(13, len(w)) AS n
+  FROM (SELECT item_id, {_CONTRACT_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+i AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s:s+n-1], ' ') AS seq
+  FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS s FROM b)),
+o AS (
+  SELECT doc_id, n, s, array_to_string(w[s:s+n-1], ' ') AS seq
+  FROM (SELECT d.doc_id, d.w, m.n, unnest(range(1, len(d.w) - m.n + 2)) AS s
+        FROM d, (SELECT DISTINCT n FROM b) m)),
+h AS (SELECT o.doc_id, o.s, o.n, i.item_id FROM o JOIN i USING (n, seq)),
+c AS (
+  SELECT doc_id, count(*) AS n_hit
+  FROM (SELECT DISTINCT doc_id, unnest(range(s, s + n)) AS place FROM h) GROUP BY doc_id),
+l AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)
+"""
+
+PASSAGES = f"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, {SPACED}), []) AS w FROM documents),
+o AS (
+  SELECT doc_id, s, array_to_string(w[s:s+19], ' ') AS seq
+  FROM (SELECT *, unnest(range(1, len(w) - 18)) AS s FROM d WHERE len(w) >= 20)),
+r AS (
+  SELECT doc_id, s FROM o
+  QUALIFY row_number() OVER (PARTITION BY seq ORDER BY doc_id, s) > 1),
+g AS (SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS place FROM r),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS place FROM d),
+k AS (
+  SELECT doc_id, count(*) AS n_kept, string_agg(word, ' ' ORDER BY place) AS kept
+  FROM x ANTI JOIN g USING (doc_id, place) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
+  CAST(len(w) - coalesce(n_kept, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 SQL = {
+    "op1_exact_top_k": TOP_K,
+    "op4_benchmark_decontamination": DECONTAMINATION,
+    "op6_substring_dedup": PASSAGES,
     "op9_source_mixing": MIXING,
     "op10_ngram_jaccard_join": NGRAM_JOIN,
 }

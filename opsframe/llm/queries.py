@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opsframe.llm import oracle
+from opsframe.llm.decontaminate import find_contamination, is_contaminated
+from opsframe.llm.knn_join import quantized, top_k
 from opsframe.llm.language_id import identify_languages
 from opsframe.llm.mixing import mix_sources
 from opsframe.llm.ngram_join import ngram_components
 from opsframe.llm.quality import quality_scores
 from opsframe.llm.secret_scan import BASE_KINDS, scan_secrets
 from opsframe.llm.sharding import assign_shards
+from opsframe.llm.substring_dedup import remove_repeated_passages
+from opsframe.llm.suffix_dedup import remove_repeated_bytes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +29,43 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents")
 
 
+def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        "vec_id", quantized(F.col("embedding")).alias("vector")
+    )
+    return top_k(vectors.where("vec_id % 50 = 0"), vectors)
+
+
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_bytes(_documents(spark, sf_dir))
+    size = F.octet_length("text").cast("long")
+    return found.select(
+        "doc_id",
+        size.alias("n_bytes"),
+        (size - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_documents(spark, sf_dir))
 
 
+def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(
+        _documents(spark, sf_dir), _table(spark, sf_dir, "benchmark")
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        is_contaminated(F.col("n_hit"), F.col("n_words")).alias("contaminated"),
+    )
+
+
 def _span_text(spans: Column) -> Column:
     return F.array_join(
         F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ","
@@ -50,6 +87,19 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeated_passages(_documents(spark, sf_dir))
+    removed = F.aggregate(
+        "spans", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["begin"]
+    )
+    return found.select(
+        "doc_id",
+        "n_words",
+        removed.alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"))
 
@@ -87,8 +137,12 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     found = [
+        op1_exact_top_k,
+        op2_suffix_array_dedup,
         op3_language_id,
+        op4_benchmark_decontamination,
         op5_secret_scan,
+        op6_substring_dedup,
         op7_quality_classifier,
         op8_sharding,
         op9_source_mixing,
