@@ -7,9 +7,10 @@ shuffled. Pairs that meet at an n-gram pass the length filter and the positional
 then, once per pair, a suffix filter on bucket counts, and the whole sets are compared last.
 
 A group of m classes at one n-gram isn't expanded into all pairs: each class is first paired with
-the first one and the one before it. What links these make is grouped, and a second round pairs
-only classes of different groups, so that no link between groups is lost. That round, too, emits
-no pair within a group of copies.
+two others, the one that meets most others at its n-grams (the text that the rest were copied from,
+where there is one) and the one next to it in that order. What links these make is grouped, and a
+second round pairs only classes of different groups, so that no link between groups is lost. That
+round, too, emits no pair within a group of copies, and none that the suffix filter rules out.
 """
 
 from __future__ import annotations
@@ -62,23 +63,23 @@ def ngram_components(
         "ngram-classes",
     )
     prefix = texts.mapInArrow(
-        _prefixes(n, percent, sketch), "token long, key long, n int, pos int"
+        _prefixes(n, percent, sketch), "token long, key long, n int, pos int, shared int, last long"
     )
     met = staged(
         prefix.repartition("token")
-        .sortWithinPartitions("token", "n", "key")
-        .mapInArrow(_meetings(percent), "kind int, token long, a long, b long, x int, y int"),
+        .sortWithinPartitions("token", F.desc("shared"), "key")
+        .mapInArrow(_meetings(percent), "kind int, token long, a long, b long, x int, y int, last long"),
         "ngram-meetings",
     )
     pairs = met.where("kind = 1").selectExpr("a", "b", "x na", "y nb")
     links, missed = _verified(texts, pairs, classes, n, percent, "first")
     groups = components(links)
     # The second round: only pairs of different groups that were not compared yet.
-    runs = met.where("kind = 0").selectExpr("token", "a key", "x n", "y pos")
-    labelled = (
-        runs.join(groups, runs.key == groups.node, "left")
-        .select("token", "key", "n", "pos", F.coalesce("component", "key").alias("label"))
+    runs = met.where("kind = 0").selectExpr("token", "a key", "x n", "y pos", "last")
+    known = classes.join(groups, classes.key == groups.node, "left").select(
+        "key", "sig", F.coalesce("component", "key").alias("label")
     )
+    labelled = runs.join(known, "key").select("token", "key", "n", "pos", "last", "label", "sig")
     further = (
         labelled.repartition("token")
         .sortWithinPartitions("token", "n", "key")
@@ -181,13 +182,17 @@ def _summed(spark: SparkSession, first: DataFrame):
 
 
 def _prefixes(n: int, percent: int, sketch):
-    """The first n-grams of each class, rare ones first; a task emits a class once."""
+    """The first n-grams of each class, rare ones first; a task emits a class once.
+
+    ``shared`` is the sum of their counts: about how many meetings the class has. ``last`` is the
+    n-gram before, and the class itself at the first one.
+    """
 
     def run(batches):
         counts = sketch.value
         seen: set[int] = set()
         for batch in batches:
-            tokens, keys, sizes, lengths = [], [], [], []
+            tokens, lasts, keys, sizes, lengths, shared = [], [], [], [], [], []
             for _, found in _sets(batch, n):
                 if not len(found):
                     continue
@@ -199,7 +204,10 @@ def _prefixes(n: int, percent: int, sketch):
                 order = held.astype(np.uint64) << np.uint64(48) | found >> np.uint64(16)
                 order.sort()
                 length = len(found) - -(-percent * len(found) // 100) + 1
-                tokens.append(order[:length])
+                order = order[:length]
+                tokens.append(order)
+                lasts.append(np.concatenate([[key], order[:-1]]))
+                shared.append(min(int((order >> np.uint64(48)).sum()), 0x7FFFFFFF))
                 keys.append(key)
                 sizes.append(len(found))
                 lengths.append(length)
@@ -213,20 +221,25 @@ def _prefixes(n: int, percent: int, sketch):
                     pa.array(np.repeat(np.array(keys, np.uint64).view(np.int64), lengths)),
                     pa.array(np.repeat(np.array(sizes, np.int32), lengths)),
                     pa.array((np.arange(lengths.sum()) - begin).astype(np.int32)),
+                    pa.array(np.repeat(np.array(shared, np.int32), lengths)),
+                    pa.array(np.concatenate(lasts).view(np.int64)),
                 ],
-                names=["token", "key", "n", "pos"],
+                names=["token", "key", "n", "pos", "shared", "last"],
             )
 
     return run
 
 
 def _possible(nx, ny, px, py, percent: int) -> np.ndarray:
-    """Whether sets of nx <= ny that meet at px and py may be similar: length and position."""
+    """Whether sets of nx and ny n-grams may be similar if px and py is where they first meet.
+
+    That is the length filter, and the positional filter for the first n-gram in common: as each
+    pair that is similar passes it there, it may fail at the others.
+    """
     nx, ny = nx.astype(np.int64), ny.astype(np.int64)
-    px, py = px.astype(np.int64), py.astype(np.int64)
     needed = -(-percent * (nx + ny) // (100 + percent))
-    most = np.minimum(px, py) + 1 + np.minimum(nx - px - 1, ny - py - 1)
-    return (100 * nx >= percent * ny) & (most >= needed)
+    most = np.minimum(nx - px, ny - py)
+    return (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)) & (most >= needed)
 
 
 def _ordered(a, b, na, nb) -> list[np.ndarray]:
@@ -247,8 +260,8 @@ def _columns(batch: pa.RecordBatch, names: tuple, held) -> list[np.ndarray]:
 
 
 def _meetings(percent: int):
-    """From rows sorted by n-gram, size and class: the rows of n-grams that several classes have
-    (kind 0), and each class paired with the first and with the one before it (kind 1).
+    """From rows sorted by n-gram: the rows of n-grams that several classes have (kind 0), and
+    each class paired with the first and with the one before it (kind 1).
 
     Of the n-gram that a batch ends with, only its first and its last row stay in memory.
     """
@@ -259,12 +272,12 @@ def _meetings(percent: int):
             if not batch.num_rows:
                 continue
             kept = 0 if held is None else len(held[0])
-            cols = _columns(batch, ("token", "key", "n", "pos"), held)
+            cols = _columns(batch, ("token", "key", "n", "pos", "last"), held)
             token, key = cols[:2]
             once = np.ones(len(token), bool)
             once[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
             once[:kept] = True
-            token, key, size, pos = (x[once] for x in cols)
+            token, key, size, pos, before = (x[once] for x in cols)
             here = np.arange(len(token))
             begin = np.ones(len(token), bool)
             begin[1:] = token[1:] != token[:-1]
@@ -290,12 +303,13 @@ def _meetings(percent: int):
                     pa.array(np.concatenate([np.zeros(rows, np.int64), b])),
                     pa.array(np.concatenate([size[out], x]).astype(np.int32)),
                     pa.array(np.concatenate([pos[out], y]).astype(np.int32)),
+                    pa.array(np.concatenate([before[out], zero])),
                 ],
-                names=["kind", "token", "a", "b", "x", "y"],
+                names=["kind", "token", "a", "b", "x", "y", "last"],
             )
             last = len(token) - 1
             at = sorted({int(first[last]), last})
-            held = [c[at] for c in (token, key, size, pos)]
+            held = [c[at] for c in (token, key, size, pos, before)]
 
     return run
 
@@ -313,8 +327,12 @@ def _crossings(percent: int):
             if not batch.num_rows:
                 continue
             old = 0 if held is None else len(held[0])
-            cols = _columns(batch, ("token", "key", "n", "pos", "label"), held)
-            token, key, size, pos, label = cols
+            held_sig = held.pop() if held else None
+            cols = _columns(batch, ("token", "key", "n", "pos", "label", "last"), held)
+            token, key, size, pos, label, before = cols
+            sig = _buckets(batch.column("sig"))
+            if held_sig is not None:
+                sig = np.concatenate([held_sig, sig])
             here = np.arange(len(token))
             begin = np.ones(len(token), bool)
             begin[1:] = token[1:] != token[:-1]
@@ -334,8 +352,12 @@ def _crossings(percent: int):
                 if not len(rows):
                     break
                 fine = _possible(size[other], size[rows], pos[other], pos[rows], percent)
-                if fine.any():
-                    x, y = other[fine], rows[fine]
+                # Sets that also have the n-gram before in common have met there already.
+                fine &= before[other] != before[rows]
+                x, y = other[fine], rows[fine]
+                close = _close(sig[x], sig[y], size[x], size[y], percent)
+                if close.any():
+                    x, y = x[close], y[close]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c) for c in _ordered(key[x], key[y], size[x], size[y])],
                         names=["a", "b", "na", "nb"],
@@ -344,27 +366,29 @@ def _crossings(percent: int):
                 same = (other >= 0) & (label[other] == label[rows])
                 other = np.where(same, stretch[other] - 1, other)
             back = int(low[-1])
-            held = [c[back:] for c in cols]
+            held = [*(c[back:] for c in cols), sig[back:]]
 
     return run
 
 
-def _close_enough(percent: int):
+def _buckets(column) -> np.ndarray:
+    """The bucket counts of each set, a row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, _BUCKETS)
+
+
+def _close(sx, sy, nx, ny, percent: int) -> np.ndarray:
     """The suffix filter: bucket counts give a least number of n-grams in which sets differ."""
+    total = nx.astype(np.int64) + ny
+    most = total - 2 * -(-percent * total // (100 + percent))
+    return np.abs(sx.astype(np.int16) - sy).sum(axis=1) <= most
+
 
+def _close_enough(percent: int):
     def run(batches):
         for batch in batches:
-            x, y = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8)
-                .reshape(-1, _BUCKETS)
-                .astype(np.int16)
-                for c in ("sx", "sy")
-            )
-            total = (
-                batch.column("na").to_numpy().astype(np.int64) + batch.column("nb").to_numpy()
-            )
-            most = total - 2 * -(-percent * total // (100 + percent))
-            keep = pa.array(np.abs(x - y).sum(axis=1) <= most)
+            x, y = _buckets(batch.column("sx")), _buckets(batch.column("sy"))
+            nx, ny = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
+            keep = pa.array(_close(x, y, nx, ny, percent))
             yield batch.select(["a", "b", "na", "nb"]).filter(keep)
 
     return run
