@@ -21,7 +21,10 @@ from opsframe.session import staged
 SHARD = 1 << 21
 GRAM = 8
 
-_OUT = "kind int, hash long, block int, id long, part long, begin long, end long, units array<long>"
+_OUT = (
+    "kind int, hash long, block int, id long, part long, begin long, end long,"
+    " ids array<long>, parts array<long>, begins array<long>, units array<long>"
+)
 
 
 def remove_repeated_passages(
@@ -44,15 +47,11 @@ def remove_repeated_passages(
     found = winnow.spans(texts, winnow.word_units, window, min(GRAM, window), block)
     open_spans = found.where("kind = 2")
     content = winnow.contents(texts, open_spans, winnow.word_units, "array<long>")
-    several = open_spans.where("block > 0").select("hash").distinct()
-    several = several.withColumn("several", F.lit(True))
-    content = content.join(several, "hash", "left").fillna(False, ["several"])
+    content = content.join(winnow.last_blocks(open_spans), "hash", "left").fillna(0, ["last"])
     solved = staged(winnow.sharded(content, _solve(window), _OUT, SHARD), "index-shards")
     # Across shards: the first of each window, brought together by the window's own hash.
-    again = solved.where("kind = 2").select(
-        "hash", "block", "id", "part", "begin", "units", F.lit(False).alias("several")
-    )
-    merged = winnow.sharded(again, _solve(window), _OUT, SHARD)
+    again = solved.where("kind = 2").select("hash", "block", "ids", "parts", "begins", "units")
+    merged = winnow.sharded(again, _solve_pieces(window), _OUT, SHARD)
     columns = ["id", "part", "begin", "end"]
     gone = (
         found.where("kind = 1")
@@ -77,7 +76,7 @@ def _solve(window: int):
         units = table.column("units").combine_chunks()
         sizes = units.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
         flat = units.flatten().to_numpy()
-        col = {c: table.column(c).to_numpy() for c in ("hash", "id", "part", "begin", "several")}
+        col = {c: table.column(c).to_numpy() for c in ("hash", "id", "part", "begin", "last")}
         begins = np.cumsum(sizes) - sizes
         symbols = np.unique(flat, return_inverse=True)[1].astype(np.int64) + 1
         index = FmIndex(symbols, begins, window)
@@ -100,33 +99,69 @@ def _solve(window: int):
         breaks = np.ones(len(gone_row), bool)
         breaks[1:] = gone_row[1:] != gone_row[:-1]
         heads, begin, end = winnow.joined_windows(gone_start, breaks, window)
-        yield _rows(1, col, gone_row[heads], begin, end, col["hash"][gone_row[heads]], None)
-        kept = first & col["several"][row].astype(bool)
-        sums = prefix_sums(flat.view(np.uint64))
-        own = span_hash(sums, place[kept], place[kept] + window).view(np.int64)
-        held = [flat[p : p + window] for p in place[kept]]
-        yield _rows(2, col, row[kept], start[kept], start[kept] + window, own, held)
+        rows = gone_row[heads]
+        longs = pa.nulls(len(rows), pa.list_(pa.int64()))
+        plain = [col["id"][rows], col["part"][rows], begin, end]
+        yield _batch(1, [col["hash"][rows], np.zeros(len(rows), np.int32)], plain, [longs] * 4)
+        kept = np.flatnonzero(first & (col["last"][row] > 0))
+        if len(kept):
+            yield _pieces(col, flat, row[kept], start[kept], place[kept], window)
 
     return solve
 
 
-def _rows(kind, col, row, begin, end, hashes, units) -> pa.RecordBatch:
-    shape = pa.list_(pa.int64())
+def _pieces(col, flat, row, start, place, window) -> pa.RecordBatch:
+    """Rows of kind 2: the shard's distinct windows of an anchor, a row for each range."""
+    contents = span_hash(prefix_sums(flat.view(np.uint64)), place, place + window)
+    rows, heads, ranges = winnow.pieces(
+        col["hash"][row], contents, col["last"][row], contents
+    )
+    row, start, place = row[rows], start[rows], place[rows]
+    ends = np.append(heads, len(rows)).astype(np.int32)
+    listed = [
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+        for x in (col["id"][row], col["part"][row], start)
+    ]
+    units = flat[place[:, None] + np.arange(window)].ravel()
+    listed.append(pa.ListArray.from_arrays(pa.array(ends * window), pa.array(units)))
+    none = pa.nulls(len(heads), pa.int64())
+    return _batch(2, [col["hash"][row[heads]], ranges], [none] * 4, listed)
+
+
+def _batch(kind: int, keys: list, plain: list, lists: list) -> pa.RecordBatch:
+    columns = [np.full(len(keys[0]), kind, np.int32), *keys, *plain]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(row), kind, np.int32)),
-            pa.array(hashes, pa.int64()),
-            pa.array(np.zeros(len(row), np.int32)),
-            pa.array(col["id"][row]),
-            pa.array(col["part"][row]),
-            pa.array(begin),
-            pa.array(end),
-            pa.nulls(len(row), shape) if units is None else pa.array(units, shape),
-        ],
-        names=["kind", "hash", "block", "id", "part", "begin", "end", "units"],
+        [*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), *lists],
+        names=["kind", "hash", "block", "id", "part", "begin", "end", "ids", "parts", "begins", "units"],
     )
 
 
+def _solve_pieces(window: int):
+    """``_solve`` on the windows of pieces, each a text of its own."""
+    solve = _solve(window)
+
+    def run(table: pa.Table):
+        table = table.combine_chunks()
+        flat = {c: table.column(c).combine_chunks().flatten() for c in ("ids", "parts", "begins", "units")}
+        many = table.column("ids").combine_chunks().value_lengths().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(table.num_rows), many)
+        ends = np.arange(len(owner) + 1, dtype=np.int32) * window
+        yield from solve(
+            pa.table(
+                {
+                    "hash": table.column("hash").to_numpy()[owner],
+                    "id": flat["ids"],
+                    "part": flat["parts"],
+                    "begin": flat["begins"],
+                    "last": np.zeros(len(owner), np.int32),
+                    "units": pa.ListArray.from_arrays(pa.array(ends), flat["units"]),
+                }
+            )
+        )
+
+    return run
+
+
 def _removed(batches):
     for batch in batches:
         lists = batch.column("spans").fill_null([])

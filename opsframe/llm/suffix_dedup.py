@@ -15,14 +15,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from opsframe.llm import winnow
 from opsframe.llm.suffixes import common_prefixes, suffix_array
-from opsframe.llm.units import blocks
+from opsframe.llm.units import blocks, prefix_sums, span_hash
 from opsframe.session import staged
 
 #: Bytes of a shard, and length of the anchors.
-SHARD = 1 << 20
+SHARD = 1 << 19
 GRAM = 24
 
-_OUT = "kind int, hash long, id long, part long, begin long, end long, string binary"
+_OUT = (
+    "kind int, hash long, block int, id long, part long, begin long, end long,"
+    " ids array<long>, parts array<long>, begins array<long>, strings binary"
+)
 
 
 def remove_repeated_bytes(
@@ -46,16 +49,12 @@ def remove_repeated_bytes(
     open_spans = found.where("kind = 2")
     content = winnow.contents(texts, open_spans, winnow.byte_units, "binary")
     # Anchors with spans in several blocks: their strings are merged across shards.
-    several = open_spans.where("block > 0").select("hash").distinct()
-    several = several.withColumn("several", F.lit(True))
-    content = content.join(several, "hash", "left").fillna(False, ["several"])
+    content = content.join(winnow.last_blocks(open_spans), "hash", "left").fillna(0, ["last"])
     solved = staged(winnow.sharded(content, _solve(length), _OUT, SHARD), "suffix-shards")
     merged = (
         solved.where("kind = 2")
-        .repartition("hash")
-        .sortWithinPartitions("hash", "string")
-        .drop("kind")
-        .groupBy("hash")
+        .select("hash", "block", "ids", "parts", "begins", "strings")
+        .groupBy("hash", "block")
         .applyInArrow(_merge(length), "id long, part long, begin long, end long")
     )
     columns = ["id", "part", "begin", "end"]
@@ -88,7 +87,7 @@ def _solve(length: int):
         order = suffix_array(data, length)
         order = order[room[order] >= length]
         shared = common_prefixes(data, order, room)
-        col = {c: table.column(c).to_numpy() for c in ("hash", "id", "part", "begin", "several")}
+        col = {c: table.column(c).to_numpy() for c in ("hash", "id", "part", "begin", "last")}
         row, place = row[order], col["begin"][row[order]] + at[order]
         # Equal strings are neighbours; the first by id, part and place stays.
         group = np.cumsum(shared < length)
@@ -102,52 +101,73 @@ def _solve(length: int):
             & (col["part"][row] == col["part"][row[head]])
             & (place == place[head])
         )
-        yield _rows(1, col, row[gone], place[gone], length)
-        kept = first & col["several"][row].astype(bool)
-        strings = [data[s : s + length].tobytes() for s in start[kept]]
-        yield _rows(2, col, row[kept], place[kept], length, strings)
+        yield _repeats(col, row[gone], place[gone], length)
+        kept = np.flatnonzero(first & (col["last"][row] > 0))
+        if len(kept):
+            yield _pieces(col, data, row[kept], place[kept], start[kept], group[kept], length)
 
     return solve
 
 
-def _rows(kind, col, row, place, length, strings=None) -> pa.RecordBatch:
-    if strings is None:
-        # Successive strings of one span make one row.
-        order = np.lexsort((place, row))
-        row, place = row[order], place[order]
-        breaks = np.ones(len(row), bool)
-        breaks[1:] = row[1:] != row[:-1]
-        heads, begin, end = winnow.joined_windows(place, breaks, length)
-        row = row[heads]
-    else:
-        begin, end = place, place + length
+def _repeats(col, row, place, length) -> pa.RecordBatch:
+    """Rows of kind 1: successive strings of one span make one row."""
+    order = np.lexsort((place, row))
+    row, place = row[order], place[order]
+    breaks = np.ones(len(row), bool)
+    breaks[1:] = row[1:] != row[:-1]
+    heads, begin, end = winnow.joined_windows(place, breaks, length)
+    row = row[heads]
+    longs = pa.nulls(len(row), pa.list_(pa.int64()))
+    return _batch(1, [col["hash"][row], np.zeros(len(row), np.int32)], [
+        col["id"][row], col["part"][row], begin, end,
+    ], [longs, longs, longs, pa.nulls(len(row), pa.binary())])
+
+
+def _pieces(col, data, row, place, start, group, length) -> pa.RecordBatch:
+    """Rows of kind 2: the shard's distinct strings of an anchor, sorted, a row for each range."""
+    sums = prefix_sums(data)
+    contents = span_hash(sums, start, start + length)
+    rows, heads, ranges = winnow.pieces(col["hash"][row], contents, col["last"][row], group)
+    row, place, start = row[rows], place[rows], start[rows]
+    ends = np.append(heads, len(rows)).astype(np.int32)
+    strings = data[start[:, None] + np.arange(length)].tobytes()
+    strings = [strings[a * length : b * length] for a, b in zip(ends[:-1], ends[1:])]
+    listed = [
+        pa.ListArray.from_arrays(pa.array(ends), pa.array(x))
+        for x in (col["id"][row], col["part"][row], place)
+    ]
+    none = pa.nulls(len(heads), pa.int64())
+    return _batch(2, [col["hash"][row[heads]], ranges], [none] * 4, [*listed, pa.array(strings, pa.binary())])
+
+
+def _batch(kind: int, keys: list, plain: list, lists: list) -> pa.RecordBatch:
+    columns = [np.full(len(keys[0]), kind, np.int32), *keys, *plain]
     return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(len(row), kind, np.int32)),
-            *(pa.array(col[c][row]) for c in ("hash", "id", "part")),
-            pa.array(begin),
-            pa.array(end),
-            pa.array(strings, pa.binary()) if strings is not None else pa.nulls(len(row), pa.binary()),
-        ],
-        names=["kind", "hash", "id", "part", "begin", "end", "string"],
+        [*(c if isinstance(c, pa.Array) else pa.array(c) for c in columns), *lists],
+        names=["kind", "hash", "block", "id", "part", "begin", "end", "ids", "parts", "begins", "strings"],
     )
 
 
 def _merge(length: int):
-    """Strings of one anchor from several shards: each is looked up by binary search among the
+    """Strings of one range from several shards: each is looked up by binary search among the
     sorted distinct ones, and all but the first of them go."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        strings = np.array(table.column("string").to_pylist(), dtype=f"S{length}")
-        distinct = np.unique(strings)
-        group = np.searchsorted(distinct, strings)
-        id_, part, begin = (table.column(c).to_numpy() for c in ("id", "part", "begin"))
+        strings = np.frombuffer(b"".join(table.column("strings").to_pylist()), f"S{length}")
+        id_, part, begin = (
+            table.column(c).combine_chunks().flatten().to_numpy() for c in ("ids", "parts", "begins")
+        )
+        group = np.searchsorted(np.unique(strings), strings)
         ranked = np.lexsort((begin, part, id_, group))
-        first = np.ones(len(ranked), bool)
-        first[1:] = group[ranked][1:] != group[ranked][:-1]
-        gone = ranked[~first]
-        return table.take(pa.array(gone)).select(["id", "part", "begin", "end"])
+        id_, part, begin, group = id_[ranked], part[ranked], begin[ranked], group[ranked]
+        first = np.ones(len(group), bool)
+        first[1:] = group[1:] != group[:-1]
+        head = np.maximum.accumulate(np.where(first, np.arange(len(group)), 0))
+        gone = ~((id_ == id_[head]) & (part == part[head]) & (begin == begin[head]))
+        return pa.table(
+            {"id": id_[gone], "part": part[gone], "begin": begin[gone], "end": begin[gone] + length}
+        )
 
     return run
 

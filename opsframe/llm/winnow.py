@@ -113,10 +113,27 @@ def joined_windows(places: np.ndarray, breaks: np.ndarray, window: int) -> tuple
     new = np.ones(len(places), bool)
     new[1:] = (places[1:] != places[:-1] + 1) | breaks[1:]
     heads = np.flatnonzero(new)
-    last = np.append(heads[1:], len(places)) - 1
+    last = np.append(heads, len(places))[1:] - 1
     return heads, places[heads], places[last] + window
 
 
+def pieces(hashes: np.ndarray, contents: np.ndarray, last: np.ndarray, order: np.ndarray) -> tuple:
+    """(rows in order, head of each piece, range of each head): windows dealt by a hash of their
+    content into ranges, eight for each block that their anchor has, and by ``order`` in these."""
+    bits = 3 + np.ceil(np.log2(last + 1.0)).astype(np.uint64)
+    ranges = (contents >> (np.uint64(64) - bits)).astype(np.int64)
+    rows = np.lexsort((order, ranges, hashes))
+    new = np.ones(len(rows), bool)
+    new[1:] = (hashes[rows][1:] != hashes[rows][:-1]) | (ranges[rows][1:] != ranges[rows][:-1])
+    heads = np.flatnonzero(new)
+    return rows, heads, ranges[rows][heads].astype(np.int32)
+
+
+def last_blocks(open_spans: DataFrame) -> DataFrame:
+    """(hash, last): anchors whose spans fill several blocks, and the number of the last one."""
+    return open_spans.where("block > 0").groupBy("hash").agg(F.max("block").alias("last"))
+
+
 def sharded(rows: DataFrame, solve: Callable, shape: str, limit: int) -> DataFrame:
     """``solve`` on successive shards of whole blocks, each of about ``limit`` bytes of units."""
 
@@ -157,7 +174,7 @@ def sharded(rows: DataFrame, solve: Callable, shape: str, limit: int) -> DataFra
 
     return (
         rows.repartition("hash", "block")
-        .sortWithinPartitions("hash", "block", "id", "part", "begin")
+        .sortWithinPartitions("hash", "block")
         .mapInArrow(run, shape)
     )
 
