@@ -38,8 +38,8 @@ def ngram_components(
     n: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """(id, n_shingles, component_id) per row; linked are rows whose sets have a Jaccard
-    similarity of ``percent`` or more.
+    """(id, part, n_shingles, component_id) per row; linked are rows whose sets have a Jaccard
+    similarity of ``percent`` or more. ``part`` is a hash of the text.
 
     ``component_id`` is the smallest id reachable by links. A-Z count as a-z, words are split at
     ASCII white space, and a text of fewer than ``n`` words is one n-gram. Empty and null texts
@@ -49,12 +49,19 @@ def ngram_components(
     hashes.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(
+        F.col(id_col).cast("long").alias("id"),
+        F.xxhash64(text_col).alias("part"),
+        F.col(text_col).alias("text"),
+    )
     first = staged(
-        texts.mapInArrow(_summaries(n), "kind int, id long, n int, key long, sig binary"),
+        texts.mapInArrow(
+            _summaries(n), "kind int, id long, part long, n int, key long, sig binary"
+        ),
         "ngram-sets",
     )
-    rows = first.where("kind = 0").select("id", "n", "key", "sig")
+    texts = texts.drop("part")
+    rows = first.where("kind = 0").select("id", "part", "n", "key", "sig")
     sketch = _summed(spark, first)
     classes = staged(
         rows.where("n > 0")
@@ -97,6 +104,7 @@ def ngram_components(
     ids = ids.join(least, "component").select("key", "component_id")
     return rows.join(ids, "key", "left").select(
         F.col("id").alias(id_col),
+        "part",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
     )
@@ -152,11 +160,12 @@ def _summaries(n: int):
                 [
                     pa.array(np.zeros(rows, np.int32)),
                     batch.column("id"),
+                    batch.column("part"),
                     pa.array(sizes),
                     pa.array(keys.view(np.int64)),
                     pa.array([x.tobytes() for x in buckets], pa.binary()),
                 ],
-                names=["kind", "id", "n", "key", "sig"],
+                names=["kind", "id", "part", "n", "key", "sig"],
             )
         for part in tallies.parts({"": counts}):
             size = part.num_rows
@@ -164,11 +173,12 @@ def _summaries(n: int):
                 [
                     pa.array(np.ones(size, np.int32)),
                     pa.nulls(size, pa.int64()),
+                    pa.nulls(size, pa.int64()),
                     part.column("part"),
                     pa.nulls(size, pa.int64()),
                     part.column("counts"),
                 ],
-                names=["kind", "id", "n", "key", "sig"],
+                names=["kind", "id", "part", "n", "key", "sig"],
             )
 
     return run

@@ -40,7 +40,8 @@ def quality_scores(
     threshold: float = THRESHOLD,
     keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(id, held_out, score, predicted) per row, and the columns ``keep`` of ``docs``.
+    """(id, held_out, score, predicted) per row, and the columns ``keep`` of ``docs`` as ``_`` and
+    their name.
 
     Positives are texts whose label is 1, the unlabelled are texts of any kind; both come from the
     folds that aren't held out, at most ``sample`` of each. The class prior is the part of labels

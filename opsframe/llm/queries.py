@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import corpus_pipeline
 from opsframe.llm import oracle
 from opsframe.llm.decontaminate import find_contamination, is_contaminated
 from opsframe.llm.knn_join import quantized, top_k
@@ -132,7 +133,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(_documents(spark, sf_dir))
+    return ngram_components(_documents(spark, sf_dir)).drop("part")
 
 
 def all_queries() -> dict[str, Query]:
@@ -148,7 +149,7 @@ def all_queries() -> dict[str, Query]:
         op9_source_mixing,
         op10_ngram_jaccard_join,
     ]
-    return {query.__name__: query for query in found}
+    return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
 
 def all_sql() -> dict[str, str]:
