@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from opsframe.llm.language_id import held_out
-from opsframe.llm.units import LOWER, SPACES, blocks, span_hash, prefix_sums, words
+from opsframe.llm.units import LOWER, SPACES, blocks, prefix_sums, raw, span_hash, words
 
 #: The classifier is fitted on at most so many rows of each kind, chosen by a hash of the id.
 SAMPLE = 12_000
@@ -71,8 +71,9 @@ def quality_scores(
         .toArrow()
     )
     kinds = rows.column("y").to_numpy()
-    found = np.frombuffer(b"".join(rows.column("features").to_pylist()), np.float32)
-    model = _fit(found.reshape(-1, FEATURES), kinds, prior)
+    data, _ = raw(rows.column("features"))
+    model = _fit(data.view(np.float32).reshape(-1, FEATURES), kinds, prior)
+    del rows, data
     model = spark.sparkContext.broadcast(model)
     kept = [F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]
     shape = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
@@ -190,11 +191,16 @@ def _fit(x: np.ndarray, kinds: np.ndarray, prior: float, rounds: int = 60, seed:
     if not (kinds == 1).any() or not (kinds == 0).any() or not 0 < prior < 1:
         return model
     # In an order of their own values, so that the fit doesn't depend on how Spark dealt the rows.
-    places = np.lexsort((*x[:, :_SHAPES].T, kinds))
-    x, kinds = x[places].astype(np.float64), kinds[places]
-    model["mean"], model["scale"] = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = np.clip((x - model["mean"]) / model["scale"], -8, 8)
-    positive, unlabelled = x[kinds == 1], x[kinds == 0]
+    # The driver holds the sample twice at most, in single precision.
+    x = x[np.lexsort((*x[:, :_SHAPES].T, kinds))]
+    count = int((kinds == 0).sum())
+    model["mean"] = x.mean(axis=0, dtype=np.float64)
+    model["scale"] = x.std(axis=0, dtype=np.float64) + 1e-3
+    for part in np.array_split(x, 64):
+        part -= model["mean"].astype(np.float32)
+        part /= model["scale"].astype(np.float32)
+        np.clip(part, -8, 8, out=part)
+    unlabelled, positive = x[:count], x[count:]
     w, b = model["w"], model["b"]
     first, second = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     rng = np.random.default_rng(seed)
