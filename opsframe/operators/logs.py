@@ -21,7 +21,6 @@ START_PATTERN = (
 END_PATTERN = r"(?isU)Completed compiling command\(queryId=([^)]+)\).*?compileTime=(\d+)ms"
 COMPILE_THRESHOLD_MS = 10000
 UNION_THRESHOLD = 3
-MAX_QUERY_LEN = 20000
 
 START, END = "START", "END"
 
@@ -29,11 +28,12 @@ _CHUNK = ["file_rank", "block"]
 _PLACE = [*_CHUNK, "line_no"]
 
 
-def classify_log_lines(lines: DataFrame, max_query_len: int = MAX_QUERY_LEN) -> DataFrame:
+def classify_log_lines(lines: DataFrame, max_query_len: int | None = None) -> DataFrame:
     """START and END lines as events; other lines are dropped.
 
     START is tested first: a "Completed ..." line that also names a user and a query is a
-    START. ``compile_ms`` is null for an END whose number no bigint can hold.
+    START. ``compile_ms`` is null for an END whose number no bigint can hold. UNION ALL is counted
+    in the whole query text; ``max_query_len`` shortens the text that is kept.
     """
     line = F.col("line")
     is_start = F.col("start_id") != ""
@@ -82,8 +82,10 @@ def classify_log_lines(lines: DataFrame, max_query_len: int = MAX_QUERY_LEN) ->
             "ts",
         )
     )
-    cut = parts.withColumn("query", truncate_query(F.col("query"), max_query_len))
-    return cut.withColumn("union_count", count_union_all(F.col("query")))
+    counted = parts.withColumn("union_count", count_union_all(F.col("query")))
+    if max_query_len is None:
+        return counted
+    return counted.withColumn("query", truncate_query(F.col("query"), max_query_len))
 
 
 def _consuming(events: DataFrame) -> DataFrame:

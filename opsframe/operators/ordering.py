@@ -74,9 +74,12 @@ def chunk_rows(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] =
 def first_per_key(
     df: DataFrame, keys: Sequence[str], order: str | Column, last: bool = False
 ) -> DataFrame:
-    """One row per key, the first by ``order``; copies are dropped before the shuffle."""
+    """One row per key, the first by ``order``, a row without order only where all are;
+    copies are dropped before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
+    order = F.col(order) if isinstance(order, str) else order
+    order = F.struct(order.isNotNull() if last else order.isNull(), order)
     return (
         df.groupBy(*keys)
         .agg(pick(F.struct(*rest), order).alias("_row"))
@@ -132,4 +135,9 @@ def concat_pages(*pages: DataFrame) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, fraction: float = 0.01, *, seed: int) -> DataFrame:
-    return df.sample(fraction=fraction, seed=seed)
+    """About ``fraction`` of the rows by a hash of their values: the same rows however they are
+    partitioned. Equal rows are sampled alike."""
+    parts = 1 << 20
+    columns = ["`" + c.replace("`", "``") + "`" for c in df.columns]
+    place = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(parts))
+    return df.where(place < F.lit(int(fraction * parts)))

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from opsframe.operators.logs import (
     COMPILE_THRESHOLD_MS,
-    MAX_QUERY_LEN,
     UNION_THRESHOLD,
     classify_log_lines,
     compile_stats_by_hour,
@@ -45,7 +44,7 @@ def compile_log_report(
     paths: str | Sequence[str],
     compile_threshold_ms: int = COMPILE_THRESHOLD_MS,
     union_threshold: int = UNION_THRESHOLD,
-    max_query_len: int = MAX_QUERY_LEN,
+    max_query_len: int | None = None,
     stage: bool = True,
 ) -> CompileLogReport:
     """Per-query compile records with per-user and per-hour statistics.

@@ -25,7 +25,7 @@ def scan_config_tree(spark: SparkSession, path: str, lines: bool = False) -> Dat
     Scopes: ``service``, ``role_group``, ``manager``, ``management_service`` and
     ``management_role_group``.
     """
-    tree = spark.read.schema(CONFIG_TREE_DDL).json(path, multiLine=not lines)
+    tree = spark.read.schema(CONFIG_TREE_DDL).json(path, multiLine=not lines, mode="FAILFAST")
     none = F.lit(None).cast("string")
     services = tree.select(F.inline("clusters").alias("cluster", "services")).select(
         "cluster", F.inline("services").alias("service", "config", "groups")
@@ -52,7 +52,7 @@ def scan_config_tree(spark: SparkSession, path: str, lines: bool = False) -> Dat
 
 def scan_services(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """``service, type, ord`` in listing order."""
-    tree = spark.read.schema(SERVICES_DDL).json(path, multiLine=not lines)
+    tree = spark.read.schema(SERVICES_DDL).json(path, multiLine=not lines, mode="FAILFAST")
     return tree.select(
         F.monotonically_increasing_id().alias("page"), F.posexplode("items").alias("pos", "item")
     ).select(

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from opsframe.schemas import POLICY_DDL, ROLE_DDL
 
+#: Text that doesn't parse, or not as what it should be, is an error rather than no rows.
+STRICT = {"mode": "FAILFAST"}
+
 
 def _texts(spark: SparkSession, path: str, lines: bool) -> DataFrame:
     """One JSON text per file, or per line; with its place in the input."""
@@ -25,11 +28,11 @@ def _has_key(text: Column, key: str) -> Column:
 
 
 def _members(text: Column, key: str, ddl: str) -> Column:
-    return F.from_json(text, f"`{key}` ARRAY<STRUCT<{ddl}>>")[key]
+    return F.from_json(text, f"`{key}` ARRAY<STRUCT<{ddl}>>", STRICT)[key]
 
 
 def _list_of(text: Column, ddl: str) -> Column:
-    return F.from_json(text, f"ARRAY<STRUCT<{ddl}>>")
+    return F.from_json(text, f"ARRAY<STRUCT<{ddl}>>", STRICT)
 
 
 def _rows(texts: DataFrame, docs: Column) -> DataFrame:
@@ -74,7 +77,7 @@ def scan_policy_list(
     ``lines`` reads one policy per line, the splittable form that the sink writes.
     """
     if lines:
-        return spark.read.schema(ddl).json(path).select(
+        return spark.read.schema(ddl).json(path, mode=STRICT["mode"]).select(
             "*",
             F.struct(
                 F.col("_metadata.file_path").alias("doc_file"),
@@ -96,7 +99,7 @@ def scan_policy_map(
     ``lines`` reads one object per line.
     """
     texts = _texts(spark, path, lines)
-    entries = F.from_json("text", f"MAP<STRING, STRUCT<{ddl}>>")
+    entries = F.from_json("text", f"MAP<STRING, STRUCT<{ddl}>>", STRICT)
     return (
         texts.select(
             "doc_file", "doc_row", F.posexplode(entries).alias("doc_pos", "doc_key", "doc")

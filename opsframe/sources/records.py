@@ -8,6 +8,6 @@ from opsframe.schemas import QUERY_RECORD_DDL
 def scan_query_records(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Records of all pages ``{queries: [..]}``: one page per file, or per line."""
     pages = spark.read.schema(f"queries ARRAY<STRUCT<{QUERY_RECORD_DDL}>>").json(
-        path, multiLine=not lines
+        path, multiLine=not lines, mode="FAILFAST"
     )
     return pages.selectExpr("inline(queries)")

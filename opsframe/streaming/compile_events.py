@@ -17,7 +17,6 @@ from pyspark.sql.types import StructType
 from opsframe.functions import hour_key
 from opsframe.operators.logs import (
     COMPILE_THRESHOLD_MS,
-    MAX_QUERY_LEN,
     UNION_THRESHOLD,
     classify_log_lines,
     open_starts,
@@ -51,7 +50,7 @@ def stream_compile_records(
     available_now: bool = True,
     compile_threshold_ms: int = COMPILE_THRESHOLD_MS,
     union_threshold: int = UNION_THRESHOLD,
-    max_query_len: int = MAX_QUERY_LEN,
+    max_query_len: int | None = None,
 ) -> StreamingQuery:
     """Start the pairing: records go to ``out/records``, given-up STARTs to ``out/unfinished``.
 

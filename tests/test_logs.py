@@ -51,13 +51,22 @@ def test_classify(spark, line, kind):
     assert [r["kind"] for r in found] == ([kind] if kind else [])
 
 
-def test_fields_are_stripped_and_unions_counted_after_truncation(spark):
+def test_fields_are_stripped_and_unions_counted_before_truncation(spark):
     lines = spark.createDataFrame(
         [(0, 0, 0, start(" q1 ", "  select union all " + "y" * 30, " bob "), "a.log")], LINES
     )
     row = logs.classify_log_lines(lines, max_query_len=10).first()
     assert (row["query_id"], row["user"]) == ("q1", "bob")
-    assert (row["query"], row["union_count"]) == ("select uni --[TRUNCATED]", 0)
+    assert (row["query"], row["union_count"]) == ("select uni --[TRUNCATED]", 1)
+    whole = logs.classify_log_lines(lines).first()
+    assert whole["query"] == "select union all " + "y" * 30
+
+
+def test_long_queries_are_kept_and_counted_whole(spark):
+    text = "SELECT 1 " + "x" * 30_000 + " UNION ALL SELECT 2" * 5
+    lines = spark.createDataFrame([(0, 0, 0, start("q1", text, "bob"), "a.log")], LINES)
+    row = logs.classify_log_lines(lines).first()
+    assert (row["query"], row["union_count"]) == (text, 5)
 
 
 def test_unreadable_time_is_a_parse_error_and_leaves_the_start_open(spark):

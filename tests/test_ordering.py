@@ -74,6 +74,13 @@ def test_first_per_key(spark):
     assert last == {"a": "x", "b": "z"}
 
 
+def test_first_per_key_without_order(spark):
+    frame = spark.createDataFrame([("a", None, "x"), ("b", None, "y"), ("b", 3, "z")], "g STRING, o INT, v STRING")
+    for last in (False, True):
+        found = {r["g"]: r["v"] for r in ordering.first_per_key(frame, ["g"], "o", last=last).collect()}
+        assert found == {"a": "x", "b": "z"}
+
+
 def test_concat_pages_keeps_copies(spark):
     a, b = spark.createDataFrame([(1,)], "x INT"), spark.createDataFrame([(1, 2)], "x INT, y INT")
     rows = ordering.concat_pages(a, b).orderBy(F.col("y").asc_nulls_first()).collect()
@@ -83,5 +90,6 @@ def test_concat_pages_keeps_copies(spark):
 def test_sample_is_repeatable(spark):
     frame = spark.range(10000)
     first = ordering.sample_rows(frame, 0.1, seed=4).collect()
-    assert first == ordering.sample_rows(frame, 0.1, seed=4).collect()
+    other = ordering.sample_rows(frame.repartition(7), 0.1, seed=4).orderBy("id").collect()
+    assert first == other
     assert 700 < len(first) < 1300

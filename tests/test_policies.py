@@ -1,5 +1,6 @@
 import json
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -321,3 +322,10 @@ def test_migrations_apply_in_turn(spark):
     assert row["policyItems"][0]["groups"] == ["g", "r"]
     with pytest.raises(ValueError):
         plans.migrate_policies(policies, "rename")
+
+
+@pytest.mark.parametrize("text", ['[{"name": "a"', '[{"name": "a"}, 5'])
+def test_a_broken_list_is_an_error(spark, folder, text):
+    Path(folder("broken.json")).write_text(text)
+    with pytest.raises(Exception, match="(?i)malformed|parse|json"):
+        sources.scan_policy_list(spark, folder("broken.json")).collect()
