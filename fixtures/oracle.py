@@ -121,32 +121,22 @@ FROM flat WHERE {where} GROUP BY 1
 """
 
 
+# Straight from the tables: a customer is a table of its nation, the orders of five customers in
+# six are its columns, line items are partitions of the table with their supplier's number.
 META = """
-DBS AS (SELECT n_nationkey AS DB_ID, n_name AS NAME FROM nation),
-TBLS AS (SELECT c_custkey AS TBL_ID, c_nationkey AS DB_ID, c_custkey + 1 AS SD_ID,
-  c_name AS TBL_NAME FROM customer),
-SDS AS (SELECT c_custkey + 1 AS SD_ID, c_custkey * 2 AS CD_ID FROM customer),
-COLUMNS_V2 AS (SELECT CASE WHEN o_custkey % 6 = 1 THEN o_custkey * 2 + 1 ELSE o_custkey * 2 END
-  AS CD_ID FROM orders),
-PARTITIONS AS (SELECT l_orderkey * 8 + l_linenumber AS PART_ID,
-  CASE WHEN l_suppkey % 5 = 0 THEN l_suppkey + 1 ELSE l_suppkey END AS TBL_ID,
-  CASE WHEN l_linestatus = 'O' THEN 'building' ELSE 'shipped' END AS FIRST_KEY FROM lineitem),
-PARTITION_KEYS AS (
-  SELECT CASE WHEN c_custkey % 4 = 3 THEN c_custkey - 1 ELSE c_custkey END AS TBL_ID,
-    CASE WHEN c_custkey % 7 = 2 THEN NULL ELSE lower(c_mktsegment) END AS PKEY_NAME FROM customer),
-col_counts AS (
-  SELECT t.TBL_ID, count(*) AS colCount
-  FROM DBS d JOIN TBLS t ON d.DB_ID = t.DB_ID JOIN SDS s ON t.SD_ID = s.SD_ID
-  JOIN COLUMNS_V2 c ON s.CD_ID = c.CD_ID GROUP BY 1),
-part_counts AS (
-  SELECT t.TBL_ID, count(p.PART_ID) AS partCount
-  FROM TBLS t LEFT JOIN PARTITIONS p ON t.TBL_ID = p.TBL_ID GROUP BY 1),
+columns_of AS (
+  SELECT o_custkey AS tbl, count(*) AS n FROM orders WHERE o_custkey % 6 <> 1 GROUP BY o_custkey),
+piece AS (
+  SELECT l_suppkey + CASE WHEN l_suppkey % 5 = 0 THEN 1 ELSE 0 END AS tbl,
+    if(l_linestatus = 'O', 'building', 'shipped') AS first_key FROM lineitem),
+pieces_of AS (SELECT tbl, count(*) AS n FROM piece GROUP BY tbl),
 inventory AS (
-  SELECT d.NAME AS DB_NAME, t.TBL_NAME, cc.colCount, pc.partCount
-  FROM TBLS t JOIN DBS d ON t.DB_ID = d.DB_ID
-  LEFT JOIN col_counts cc ON t.TBL_ID = cc.TBL_ID
-  LEFT JOIN part_counts pc ON t.TBL_ID = pc.TBL_ID)
+  SELECT (SELECT n_name FROM nation WHERE n_nationkey = c_nationkey) AS DB_NAME,
+    c_name AS TBL_NAME, (SELECT n FROM columns_of WHERE tbl = c_custkey) AS colCount,
+    coalesce((SELECT n FROM pieces_of WHERE tbl = c_custkey), 0) AS partCount, c_custkey
+  FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation))
 """
+INVENTORY = f"WITH {META} SELECT DB_NAME, TBL_NAME, colCount, partCount FROM inventory"
 
 POL = """
 pol AS (
@@ -230,6 +220,12 @@ plan AS (
 NO_OVERRIDE = UPSERT.format("", "NULL")
 OVERRIDE = UPSERT.format("WHEN NOT found OR found_id IS NOT NULL THEN 'update'", "found_id")
 
+FAILURES = """
+SELECT o_orderkey AS index, 'role_' || CAST(o_orderkey AS VARCHAR) AS name,
+  CASE o_orderstatus WHEN 'O' THEN 400 END AS status, false AS success
+FROM orders WHERE o_orderstatus <> 'F'
+"""
+
 CONFIG = """
 cfg AS (
   SELECT CASE WHEN p_partkey % 2 = 0 THEN 'service' ELSE 'role_group' END AS scope,
@@ -339,6 +335,15 @@ FROM flat""",
         "workload_total": "SELECT count(*) AS total FROM events",
         "cap_records": f"WITH {FLAT} SELECT query_id FROM flat ORDER BY query_id LIMIT 5000",
         "workload_report_bottlenecks": _bottlenecks(f"{DAY} AND duration_ms > 5000"),
+        "workload_report_total": f"""
+WITH {FLAT} SELECT count(*) AS total FROM flat WHERE {DAY} AND duration_ms > 5000""",
+        "workload_report_slowest": f"""
+WITH {FLAT} SELECT "user", duration_s, if(spilled, 'YES', 'No') AS spilled,
+  if(stats_missing, 'MISSING', 'Ok') AS stats, query_id
+FROM flat WHERE {DAY} AND duration_ms > 5000 ORDER BY duration_s DESC, query_id LIMIT 5""",
+        "workload_report_congestion": f"""
+WITH {FLAT} SELECT max(admission_wait_s) AS max_wait_s, max(admission_wait_s) > 5 AS alert
+FROM flat WHERE {DAY} AND duration_ms > 5000""",
         "workload_report_users": _users(f"{DAY} AND duration_ms > 5000"),
         "queue_report_coordinators": _coordinators(
             f"{TEN_DAYS} AND (admission_wait_ms > 100 OR duration_ms > 1000)"
@@ -346,15 +351,23 @@ FROM flat""",
         "queue_report_pools": _pools(
             f"{TEN_DAYS} AND (admission_wait_ms > 100 OR duration_ms > 1000)"
         ),
-        "column_counts": f"WITH {META} SELECT * FROM col_counts",
-        "partition_counts": f"WITH {META} SELECT * FROM part_counts",
-        "table_inventory": f"WITH {META} SELECT * FROM inventory ORDER BY DB_NAME, TBL_NAME",
-        "table_inventory_of_databases": f"""
-WITH {META} SELECT * FROM inventory WHERE DB_NAME IN ('NATION_1', 'NATION_7')""",
+        "column_counts": f"""
+WITH {META} SELECT c_custkey AS TBL_ID, colCount FROM inventory WHERE colCount > 0""",
+        "partition_counts": f"""
+WITH {META} SELECT c_custkey AS TBL_ID, partCount FROM inventory""",
+        "table_inventory": INVENTORY,
+        "scan_metastore": INVENTORY,
+        "table_inventory_of_databases": f"{INVENTORY} WHERE DB_NAME IN ('NATION_1', 'NATION_7')",
         "partition_key_mismatch": f"""
-WITH {META} SELECT t.TBL_ID, d.NAME AS DB_NAME, t.TBL_NAME, a.FIRST_KEY AS part_key, b.PKEY_NAME
-FROM DBS d JOIN TBLS t ON d.DB_ID = t.DB_ID JOIN PARTITIONS a ON t.TBL_ID = a.TBL_ID
-LEFT JOIN PARTITION_KEYS b ON a.TBL_ID = b.TBL_ID WHERE a.FIRST_KEY != b.PKEY_NAME""",
+WITH {META}, declared AS (
+  SELECT c_custkey - CASE WHEN c_custkey % 4 = 3 THEN 1 ELSE 0 END AS tbl,
+    lower(c_mktsegment) AS key FROM customer WHERE c_custkey % 7 <> 2)
+SELECT piece.tbl AS TBL_ID, (SELECT DB_NAME FROM inventory WHERE c_custkey = piece.tbl) AS DB_NAME,
+  (SELECT c_name FROM customer WHERE c_custkey = piece.tbl) AS TBL_NAME, first_key AS part_key,
+  key AS PKEY_NAME
+FROM piece, declared
+WHERE piece.tbl = declared.tbl AND key <> first_key
+  AND EXISTS (FROM customer WHERE c_custkey = piece.tbl)""",
         "rewrite_policy_urls_all": URLS_ALL,
         "rewrite_policy_urls_matched": f"""
 WITH {POL} SELECT id, name, service,
@@ -386,18 +399,17 @@ SELECT chunk_id, count(*) FILTER (action <> 'fail') AS succeeded,
         "import_outcome_summary": """
 SELECT count(*) FILTER (o_orderstatus = 'F') AS succeeded,
   count(*) FILTER (o_orderstatus <> 'F') AS failed FROM orders""",
-        "import_failures": """
-SELECT o_orderkey AS index, 'role_' || CAST(o_orderkey AS VARCHAR) AS name,
-  CASE o_orderstatus WHEN 'O' THEN 400 END AS status, false AS success
-FROM orders WHERE o_orderstatus <> 'F' ORDER BY o_orderkey LIMIT 10""",
+        "import_failures": f"{FAILURES} ORDER BY o_orderkey LIMIT 10",
+        "import_failures_all": FAILURES,
         "parse_permissions": f"WITH {GRANTS} SELECT l_orderkey, permissions, parsed FROM gr",
         "page_completeness": """
 SELECT CAST(20000 AS BIGINT) AS declared, count(*) AS fetched,
   CAST(100 AS BIGINT) AS expected_pages, count(*) = 20000 AS complete FROM orders""",
         "migrate_policies": f"""
-WITH {POL} SELECT id, CASE WHEN service = 'cm_hive' THEN matched ELSE original END AS urls,
-  array_to_string(list_sort(list_distinct([p_type, 'all', p_brand])), '|') AS "groups"
-FROM urls""",
+WITH {POL} SELECT id, CASE WHEN service = 'cm_hive' THEN matched ELSE original END AS urls, item,
+  CASE item WHEN 0 THEN array_to_string(list_sort(list_distinct([p_type, 'all', p_brand])), '|')
+    ELSE p_brand END AS "groups", 0 AS n_roles
+FROM urls, (VALUES (0), (1)) AS items(item)""",
         "scan_policy_list": URLS_ALL,
         "scan_policy_map": f"WITH {POL} SELECT id, name, service FROM pol",
         "scan_document_pages": """
@@ -511,7 +523,10 @@ SELECT 'role' AS "column", CAST(max(length(role)) AS INT) AS max_len,
   CAST(4 AS BIGINT) AS total_columns, CAST(2 AS BIGINT) AS string_columns FROM conversations
 UNION ALL SELECT 'text', CAST(max(length(text)) AS INT), 4, 2 FROM conversations""",
         "copy_table": """
-SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders""",
+SELECT * REPLACE (strftime(o_orderdate, '%Y-%m-%d') AS o_orderdate) FROM orders""",
+        "sample_rows": """
+SELECT * REPLACE (strftime(l_shipdate, '%Y-%m-%d') AS l_shipdate)
+FROM lineitem WHERE substr(md5(concat_ws('/', '7', l_orderkey, l_linenumber)), 1, 8) < '028f5c28'""",
         "stream_compile_records": f"""
 WITH {LOG} SELECT query_id, "user", compile_time_ms, union_count, slow_compile, excessive_unions,
   {start_end}, query FROM pr""",

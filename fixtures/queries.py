@@ -130,6 +130,13 @@ def _scan_records(spark, sf):
     )
 
 
+def _metastore_files(spark, sf):
+    path = shared_dir(spark, "metastore")
+    for name, df in d.metastore(spark, sf).items():
+        df.write.parquet(f"{path}/{name}")
+    return catalog.table_inventory(sources.scan_metastore(spark, path))
+
+
 # --- policies ---------------------------------------------------------------------------
 
 
@@ -224,7 +231,9 @@ def _migrate(spark, sf):
     return out.select(
         "id",
         _joined(F.col("resources")["url"]["values"]).alias("urls"),
-        _joined(F.col("policyItems")[0]["groups"]).alias("groups"),
+        F.posexplode("policyItems").alias("item", "doc"),
+    ).select(
+        "id", "urls", "item", _joined("doc.groups").alias("groups"), F.size("doc.roles").alias("n_roles")
     )
 
 
@@ -383,7 +392,8 @@ def _backup(kind: str, date_match: str = "basename_compact") -> Query:
 
 
 def _endpoints(spark, sf):
-    return objects.endpoint_for(d.clusters(spark, sf), missing="null")
+    rules = [("contains", "ATB", "virginia"), ("contains", "AVB", "texas")]
+    return objects.endpoint_for(d.clusters(spark, sf), rules, missing="null")
 
 
 def _split_rows(spark, sf):
@@ -454,15 +464,23 @@ def _copy(spark, sf):
     plans.copy_table(
         spark, "opsframe_copy_source", name, path=shared_dir(spark, "copied-table")
     )
-    return sources.scan_table(spark, name).select(
-        "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"
-    )
+    return _with_days(sources.scan_table(spark, name), "o_orderdate")
+
+
+def _sample(spark, sf):
+    lines = d.table(spark, sf, "lineitem")
+    sample = ordering.sample_rows(lines, 0.01, ["l_orderkey", "l_linenumber"], seed=7)
+    return _with_days(sample, "l_shipdate")
+
+
+def _with_days(df: DataFrame, *days: str) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in days})
 
 
 def _stream(spark: SparkSession, sf: str) -> str:
     out, state = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-checkpoint")
     lines = sources.stream_log_lines(spark, d.log_files(spark, sf))
-    streaming.stream_compile_records(lines, out, state, ttl_s=86400 * 365).awaitTermination()
+    streaming.stream_compile_records(lines, out, state).awaitTermination()
     return out
 
 
@@ -473,18 +491,25 @@ def _stream_records(spark, sf):
 
 def _stream_hours(spark, sf):
     records = streaming.record_stream(spark, _stream(spark, sf))
-    name = "opsframe_hours_" + shared_dir(spark, "x")[-12:]
+    path = shared_dir(spark, "hours")
+
+    def keep(hours: DataFrame, batch: int) -> None:
+        hours.withColumn("batch", F.lit(batch)).write.mode("overwrite").parquet(
+            f"{path}/part={batch}"
+        )
+
     query = (
         streaming.stream_compile_stats_by_hour(records)
-        .writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
+        .writeStream.foreachBatch(keep)
+        .outputMode("update")
         .option("checkpointLocation", shared_dir(spark, "hours-checkpoint"))
         .trigger(availableNow=True)
         .start()
     )
     query.awaitTermination()
-    return spark.table(name)
+    # Each batch writes the hours that it changed; the last state of an hour counts.
+    states = spark.read.parquet(f"{path}/*")
+    return ordering.first_per_key(states, ["hour"], "batch", last=True).drop("batch")
 
 
 def _stream_open(spark, sf):
@@ -540,9 +565,12 @@ def all_queries() -> dict[str, Query]:
         "queue_by_coordinator": _on_flat(w.queue_by_coordinator),
         "queue_by_pool": _on_flat(w.queue_by_pool),
         "workload_total": _on_flat(w.workload_total),
-        "cap_records": _on_flat(lambda f: w.cap_records(f).select("query_id")),
+        "cap_records": _on_flat(lambda f: w.cap_records(f, 5000).select("query_id")),
         "workload_report_bottlenecks": _workload_part("bottlenecks"),
         "workload_report_users": _workload_part("users"),
+        "workload_report_total": _workload_part("total"),
+        "workload_report_slowest": _workload_part("slowest"),
+        "workload_report_congestion": _workload_part("congestion"),
         "queue_report_coordinators": _queue_part("coordinators"),
         "queue_report_pools": _queue_part("pools"),
         # metastore
@@ -552,6 +580,7 @@ def all_queries() -> dict[str, Query]:
         "table_inventory_of_databases": lambda s, sf: catalog.table_inventory(
             d.metastore(s, sf), dbs=["NATION_1", "NATION_7"]
         ),
+        "scan_metastore": _metastore_files,
         "partition_key_mismatch": lambda s, sf: catalog.partition_key_mismatch(
             d.metastore(s, sf)
         ),
@@ -569,6 +598,7 @@ def all_queries() -> dict[str, Query]:
         "policy_upsert_report": _upsert_report,
         "import_outcome_summary": lambda s, sf: pol.import_outcome_summary(_outcomes(s, sf)),
         "import_failures": lambda s, sf: pol.import_failures(_outcomes(s, sf)),
+        "import_failures_all": lambda s, sf: pol.import_failures(_outcomes(s, sf), k=None),
         "parse_permissions": _permissions,
         "page_completeness": _page_completeness,
         "migrate_policies": _migrate,
@@ -610,9 +640,7 @@ def all_queries() -> dict[str, Query]:
             d.table(s, sf, "documents")
         ),
         "dataset_profile": lambda s, sf: profile.dataset_profile(d.table(s, sf, "conversations")),
-        "sample_rows": lambda s, sf: ordering.sample_rows(
-            d.table(s, sf, "lineitem"), 0.01, seed=7
-        ),
+        "sample_rows": _sample,
         "copy_table": _copy,
         "stream_compile_records": _stream_records,
         "stream_compile_stats_by_hour": _stream_hours,

@@ -23,7 +23,13 @@ from opsframe.functions.text import (
     strip_ws,
     truncate_query,
 )
-from opsframe.functions.times import epoch_ms_cutoff, hour_key, iso_ts, parse_log_timestamp
+from opsframe.functions.times import (
+    epoch_ms_cutoff,
+    hour_key,
+    iso_ts,
+    parse_log_timestamp,
+    zone_free,
+)
 from opsframe.functions.values import (
     default_to,
     expected_pages,
@@ -63,4 +69,5 @@ __all__ = [
     "split_part",
     "strip_ws",
     "truncate_query",
+    "zone_free",
 ]

@@ -12,20 +12,6 @@ LAYOUTS = {
 }
 DATE_FOLDER_PATTERN = r"^(?!0000)\d{4}-\d{1,2}-\d{1,2}$"
 
-# Names that must count as password keys. The two word rules below cover
-# every one of them, which a test checks.
-PASSWORD_KEYS = [
-    "ssl_private_key_password",
-    "ssl_server_keystore_password",
-    "ssl_client_keystore_password",
-    "ranger.ssl.keystore.password",
-    "ranger.kms.keystore.password",
-    "hive.ssl.keystore.password",
-    "rangerkms.ssl.keystore.password",
-    "impala.ssl_private_key_password",
-]
-
-
 def layout_of(name: str) -> dict[str, int]:
     if name not in LAYOUTS:
         raise ValueError(f"unknown layout {name!r}, expected one of {sorted(LAYOUTS)}")

@@ -43,3 +43,19 @@ def epoch_ms_cutoff(now: str | datetime, months: int = 1) -> Column:
     cutoff = cutoff.replace(tzinfo=cutoff.tzinfo or timezone.utc)
     micros = (cutoff - datetime(1970, 1, 1, tzinfo=timezone.utc)) // datetime.resolution
     return F.lit(micros // 1000)
+
+
+def zone_free(text: Column) -> Column:
+    """A time as UTC wall time: text with a zone is an instant, text without one stays as it is.
+
+    Text that is no time is an error; null stays null.
+    """
+    epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
+    micros = F.unix_micros(text.try_cast("timestamp"))
+    instant = epoch + F.make_dt_interval(
+        secs=(micros / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
+    )
+    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
+    parsed = F.when(zoned, instant).otherwise(text.try_cast("timestamp_ntz"))
+    bad = F.raise_error(F.concat(F.lit("no time: "), text))
+    return F.when(text.isNotNull(), F.coalesce(parsed, bad))

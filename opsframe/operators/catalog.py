@@ -23,35 +23,38 @@ def filter_databases(ms: Metastore, dbs: Sequence[str] | None = None) -> DataFra
 
 
 def _tables(ms: Metastore, dbs: Sequence[str] | None) -> DataFrame:
-    """TBLS, optionally only of the named databases."""
-    if dbs is None:
-        return ms["TBLS"]
-    return ms["TBLS"].join(filter_databases(ms, dbs), "DB_ID", "left_semi")
+    """``TBL_ID, SD_ID, TBL_NAME, DB_NAME`` of the tables that have a database.
+
+    One database may hold most tables, so its rows are cut into pieces.
+    """
+    names = filter_databases(ms, dbs).select("DB_ID", F.col("NAME").alias("DB_NAME"))
+    tables = ms["TBLS"].select("TBL_ID", "DB_ID", "SD_ID", "TBL_NAME")
+    return salted_join(tables, names, ["DB_ID"], spread_by="TBL_ID").drop("DB_ID")
+
+
+def _descriptor_columns(ms: Metastore) -> DataFrame:
+    """``SD_ID, colCount`` of storage descriptors that have columns."""
+    per_list = ms["COLUMNS_V2"].groupBy("CD_ID").agg(F.count(F.lit(1)).alias("colCount"))
+    return ms["SDS"].select("SD_ID", "CD_ID").join(per_list, "CD_ID").drop("CD_ID")
+
+
+def _table_partitions(ms: Metastore) -> DataFrame:
+    return ms["PARTITIONS"].groupBy("TBL_ID").agg(F.count("PART_ID").alias("partCount"))
 
 
 def column_counts(ms: Metastore, dbs: Sequence[str] | None = None) -> DataFrame:
     """``TBL_ID, colCount`` of tables that have columns and a database."""
-    per_descriptor = ms["COLUMNS_V2"].groupBy("CD_ID").agg(F.count(F.lit(1)).alias("n"))
-    return (
-        filter_databases(ms, dbs)
-        .select("DB_ID")
-        .join(ms["TBLS"].select("TBL_ID", "DB_ID", "SD_ID"), "DB_ID")
-        .join(ms["SDS"].select("SD_ID", "CD_ID"), "SD_ID")
-        .join(per_descriptor, "CD_ID")
-        .groupBy("TBL_ID")
-        .agg(F.sum("n").alias("colCount"))
-    )
+    tables = _tables(ms, dbs).select("TBL_ID", "SD_ID")
+    return tables.join(_descriptor_columns(ms), "SD_ID").select("TBL_ID", "colCount")
 
 
 def partition_counts(ms: Metastore, dbs: Sequence[str] | None = None) -> DataFrame:
     """``TBL_ID, partCount`` of every table, 0 where it has no partition."""
-    per_table = ms["PARTITIONS"].groupBy("TBL_ID").agg(F.count("PART_ID").alias("n"))
+    tables = ms["TBLS"] if dbs is None else _tables(ms, dbs)
     return (
-        _tables(ms, dbs)
-        .select("TBL_ID")
-        .join(per_table, "TBL_ID", "left")
-        .groupBy("TBL_ID")
-        .agg(F.sum(F.coalesce("n", F.lit(0))).alias("partCount"))
+        tables.select("TBL_ID")
+        .join(_table_partitions(ms), "TBL_ID", "left")
+        .select("TBL_ID", F.coalesce("partCount", F.lit(0)).alias("partCount"))
     )
 
 
@@ -60,15 +63,15 @@ def table_inventory(
 ) -> DataFrame:
     """``DB_NAME, TBL_NAME, colCount, partCount`` of every table, by database and table.
 
-    ``colCount`` is null where a table has no columns.
+    ``colCount`` is null where a table has no columns. Each count joins the tables once.
     """
     rows = (
-        ms["TBLS"]
-        .select("TBL_ID", "DB_ID", "TBL_NAME")
-        .join(filter_databases(ms, dbs).select("DB_ID", F.col("NAME").alias("DB_NAME")), "DB_ID")
-        .join(column_counts(ms, dbs), "TBL_ID", "left")
-        .join(partition_counts(ms, dbs), "TBL_ID", "left")
-        .select("DB_NAME", "TBL_NAME", "colCount", "partCount")
+        _tables(ms, dbs)
+        .join(_descriptor_columns(ms), "SD_ID", "left")
+        .join(_table_partitions(ms), "TBL_ID", "left")
+        .select(
+            "DB_NAME", "TBL_NAME", "colCount", F.coalesce("partCount", F.lit(0)).alias("partCount")
+        )
     )
     return rows.orderBy("DB_NAME", "TBL_NAME") if ordered else rows
 
@@ -80,12 +83,7 @@ def partition_key_mismatch(ms: Metastore, dbs: Sequence[str] | None = None) -> D
     tables without declared keys give none.
     """
     # The small tables meet first, so that partitions are shuffled once.
-    declared = (
-        ms["TBLS"]
-        .select("TBL_ID", "DB_ID", "TBL_NAME")
-        .join(filter_databases(ms, dbs).select("DB_ID", F.col("NAME").alias("DB_NAME")), "DB_ID")
-        .join(ms["PARTITION_KEYS"].select("TBL_ID", "PKEY_NAME"), "TBL_ID")
-    )
+    declared = _tables(ms, dbs).join(ms["PARTITION_KEYS"].select("TBL_ID", "PKEY_NAME"), "TBL_ID")
     named = ms["PARTITIONS"].select(
         "TBL_ID", "PART_ID", split_part(F.col("PART_NAME"), "=", 1).alias("part_key")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from opsframe.functions import is_password_key, mask_secret, normalize_service_name
-from opsframe.operators.ordering import chunk_rows, with_position
+from opsframe.operators.ordering import with_position
 
 SCOPE = ["scope", "cluster", "service", "role_group"]
 
@@ -58,17 +58,14 @@ def config_updates(items: DataFrame, wide: bool = True) -> DataFrame:
     )
 
 
-def config_updates_by_scope(
-    items: DataFrame, wide: bool = True, max_keys: int = 1000
-) -> DataFrame:
+def config_updates_by_scope(items: DataFrame, wide: bool = True) -> DataFrame:
     """``updates``: one ``key -> masked value`` map per scope; scopes without keys give none.
 
-    A scope with more than ``max_keys`` keys gives several maps, numbered by ``chunk_id``.
+    A map holds each secret key of its scope once, however often the key was listed.
     """
-    updates = chunk_rows(config_updates(items, wide), max_keys, ["key"], by=SCOPE)
     entries = F.array_sort(F.collect_list(F.struct("key", "new_value")))
-    return updates.groupBy(*SCOPE, "chunk_id").agg(
-        F.map_from_entries(entries).alias("updates")
+    return (
+        config_updates(items, wide).groupBy(*SCOPE).agg(F.map_from_entries(entries).alias("updates"))
     )
 
 

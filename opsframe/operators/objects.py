@@ -11,20 +11,12 @@ from opsframe.functions import basename, build_key, compact_date, parse_object_k
 from opsframe.functions.keys import layout_of
 from opsframe.session import as_instant
 
-# Folder names, retention in days, delete batch, and the site of a cluster.
+# Folder names, retention in days, delete batch.
 WAL_FOLDER = "wal_backups"
 SQL_FOLDER = "sql_backups"
 FILESYSTEM_FOLDER = "file_systembackups"
 RETENTION_DAYS = 15
 DELETE_BATCH = 1000
-SITE_RULES = [
-    ("contains", "ATB", "virginia"),
-    ("contains", "AVB", "texas"),
-]
-BACKUP_SITE_RULES = [
-    ("equals", "PVOS", "virginia"),
-    ("equals", "PTOS", "texas"),
-]
 
 
 def _prefix(layout: str, cluster: str | None, node: str | None, base: str) -> str:
@@ -119,11 +111,12 @@ def select_backup_objects(
 
 def endpoint_for(
     df: DataFrame,
+    rules: Sequence[tuple[str, str, str]],
     cluster_col: str = "cluster",
-    rules: Sequence[tuple[str, str, str]] = tuple(SITE_RULES),
     missing: str = "error",
 ) -> DataFrame:
-    """Adds ``site``: that of the first rule the cluster name meets.
+    """Adds ``site``: that of the first rule ``(contains or equals, token, site)`` the cluster
+    name meets.
 
     A cluster without a rule is an error, or has a null site for ``missing='null'``.
     """

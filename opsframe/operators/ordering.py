@@ -12,10 +12,8 @@ from opsframe.session import staged
 # monotonically_increasing_id keeps the partition above this bit and the row below it.
 _ROW_BITS = 33
 
-# When a join key counts as hot, how many of them at most, and over how many tasks each goes.
-HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 1000
-SALTS = 64
+# A join cuts hot keys into pieces of this part of the rows that a task gets on average.
+PIECES_PER_TASK = 4
 
 
 def with_position(df: DataFrame, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -94,30 +92,32 @@ def salted_join(
     keys: Sequence[str],
     spread_by: str,
     how: str = "inner",
-    hot_rows: int | None = None,
-    salts: int = SALTS,
+    pieces: int | None = None,
 ) -> DataFrame:
-    """Equi-join that shares the rows of hot keys of ``big`` out over ``salts`` tasks.
-
-    Hot are the ``MAX_HOT_KEYS`` keys with the most rows, as far as they have more than
-    ``hot_rows``; any other key has less than one row in that many. The list of them is so
-    bounded that it can be broadcast. Rows of ``small`` are repeated for hot keys alone.
-    ``spread_by`` tells the rows of ``big`` apart. ``how`` is inner, left, left_semi or left_anti.
+    """Equi-join that cuts the rows of hot keys of ``big`` into pieces of equal size.
+
+    A key is hot with more than one part in ``pieces`` of all rows, so fewer than ``pieces``
+    keys can be, and their list is small enough to be broadcast whatever the data. Each goes
+    over as many salts as it has such parts; rows of ``small`` are repeated for hot keys alone,
+    fewer than ``2 * pieces`` times in all per row of one key. ``pieces`` goes by the shuffle
+    partitions of the session unless given. ``spread_by`` tells the rows of ``big`` apart.
+    ``how`` is inner, left, left_semi or left_anti.
     """
     keys = list(keys)
+    if pieces is None:
+        pieces = PIECES_PER_TASK * int(big.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    above = counts.where(F.col("_n") > (HOT_ROWS if hot_rows is None else hot_rows))
+    share = F.col("_n") * F.lit(pieces) / counts.agg(F.sum("_n")).scalar()
     hot = F.broadcast(
-        top_k(above, MAX_HOT_KEYS, F.desc("_n")).select(*keys, F.lit(True).alias("_hot"))
+        counts.withColumn("_salts", F.ceil(share).cast("int")).where("_salts > 1").drop("_n")
     )
-    is_hot = F.col("_hot").isNotNull()
     # A null key matches nothing, so its rows may go anywhere.
     no_key = reduce(Column.__or__, [F.col(k).isNull() for k in keys])
-    spread = F.pmod(F.xxhash64(spread_by), F.lit(salts))
-    salt = F.when(is_hot | no_key, spread).otherwise(0).cast("int")
-    every = F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    left = big.join(hot, keys, "left").withColumn("_salt", salt).drop("_hot")
-    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_hot")
+    salts = F.when(no_key, F.lit(pieces)).otherwise(F.coalesce("_salts", F.lit(1)))
+    spread = F.pmod(F.xxhash64(spread_by), salts).cast("int")
+    every = F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1)
+    left = big.join(hot, keys, "left").withColumn("_salt", spread).drop("_salts")
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(every)).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
@@ -134,10 +134,14 @@ def concat_pages(*pages: DataFrame) -> DataFrame:
     return result
 
 
-def sample_rows(df: DataFrame, fraction: float = 0.01, *, seed: int) -> DataFrame:
-    """About ``fraction`` of the rows by a hash of their values: the same rows however they are
-    partitioned. Equal rows are sampled alike."""
-    parts = 1 << 20
-    columns = ["`" + c.replace("`", "``") + "`" for c in df.columns]
-    place = F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(parts))
-    return df.where(place < F.lit(int(fraction * parts)))
+def sample_rows(
+    df: DataFrame, fraction: float = 0.01, keys: Sequence[str] | None = None, *, seed: int
+) -> DataFrame:
+    """About ``fraction`` of the rows by a hash of ``seed`` and ``keys``, or of all columns: the
+    same rows however they are partitioned. Rows with equal keys are sampled alike; a null key
+    counts as empty."""
+    names = df.columns if keys is None else keys
+    columns = [F.col("`" + c.replace("`", "``") + "`").cast("string") for c in names]
+    text = F.concat_ws("/", F.lit(str(seed)), *[F.coalesce(c, F.lit("")) for c in columns])
+    place = F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+    return df.where(place < F.lit(int(fraction * (1 << 32))))

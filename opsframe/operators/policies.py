@@ -117,12 +117,12 @@ def drop_document_id(documents: DataFrame) -> DataFrame:
     return documents.drop("id")
 
 
-def _named(policies: DataFrame, service: str | None) -> DataFrame:
-    return policies if service is None else policies.where(F.col("service") == service)
+def _named(policies: DataFrame, service: str) -> DataFrame:
+    return policies.where(F.col("service") == service)
 
 
 def unmatched_grants(
-    policies: DataFrame, grants: DataFrame, service: str | None = GRANT_SERVICE
+    policies: DataFrame, grants: DataFrame, service: str = GRANT_SERVICE
 ) -> DataFrame:
     """Grants that name no policy of the service."""
     names = _named(policies, service).select(F.col("name").alias("policy_name"))
@@ -137,7 +137,7 @@ def _first_places(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def grant_targets(
-    policies: DataFrame, grants: DataFrame, service: str | None = GRANT_SERVICE
+    policies: DataFrame, grants: DataFrame, service: str = GRANT_SERVICE
 ) -> DataFrame:
     """Where grants go: ``name, item, group_name, first`` and a place per permission.
 
@@ -183,7 +183,7 @@ def _by_place() -> Column:
 
 
 def merge_grants(
-    policies: DataFrame, grants: DataFrame, service: str | None = GRANT_SERVICE
+    policies: DataFrame, grants: DataFrame, service: str = GRANT_SERVICE
 ) -> DataFrame:
     """Policies with the grants merged into their items; policy names are unique per service.
 
@@ -246,7 +246,7 @@ def merge_grants(
     # Entries of existing items come first and in item order, so both lists line up.
     extended = F.zip_with(old, F.slice("_entries", 1, F.size(old)), extend)
     added = F.transform(F.filter("_entries", lambda e: e["is_new"]), new_item)
-    ours = F.lit(True) if service is None else F.col("service") == service
+    ours = F.col("service") == service
     return (
         policies.join(gains, "name", "left")
         .withColumn(

@@ -10,14 +10,13 @@ from opsframe.functions import default_to, flag, ms_to_s, number, pct
 from opsframe.operators.ordering import top_k
 from opsframe.session import as_instant
 
-# Thresholds, look-back, cap, and the texts of the bottleneck report.
+# Thresholds, look-back, and the texts of the bottleneck report.
 LOOKBACK_HOURS = 24
 MIN_DURATION_S = 5.0
 QUEUE_FILTER_WAIT_MS = 100
 QUEUE_FILTER_DURATION_S = 1.0
 QUEUED_MS = 1000
 QUEUE_ALERT_S = 5
-MAX_RECORDS = 5000
 BOTTLENECKS = {
     "short": [
         ("spilled", "Spilling to Disk", "Increase Mem / Fix Joins"),
@@ -107,8 +106,8 @@ def label_queries(flat: DataFrame) -> DataFrame:
     )
 
 
-def cap_records(flat: DataFrame, n: int = MAX_RECORDS, order: str = "query_id") -> DataFrame:
-    """At most ``n`` records, as a report cap that the caller asks for."""
+def cap_records(flat: DataFrame, n: int, order: str = "query_id") -> DataFrame:
+    """The first ``n`` records by ``order``; no report applies it."""
     return top_k(flat, n, F.col(order))
 
 

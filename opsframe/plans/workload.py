@@ -16,7 +16,6 @@ def workload_report(
     hours: int = w.LOOKBACK_HOURS,
     min_s: float = w.MIN_DURATION_S,
     k: int = 5,
-    cap: int | None = None,
     wording: str = "short",
     stage: bool = True,
 ) -> dict[str, DataFrame]:
@@ -26,8 +25,6 @@ def workload_report(
     """
     recent = w.filter_lookback(raw, "startTime", now, hours)
     flat = w.filter_min_duration(w.flatten_query_records(recent), min_s)
-    if cap is not None:
-        flat = w.cap_records(flat, cap)
     if stage:
         flat = staged(flat, "workload")
     return {
@@ -43,14 +40,11 @@ def queue_report(
     raw: DataFrame,
     now: str | datetime | Column,
     hours: int = w.LOOKBACK_HOURS,
-    cap: int | None = None,
     stage: bool = True,
 ) -> dict[str, DataFrame]:
     """Load per coordinator and pressure per pool, over queued or slow queries."""
     recent = w.filter_lookback(raw, "startTime", now, hours)
     flat = w.filter_queue_or_slow(w.flatten_query_records(recent))
-    if cap is not None:
-        flat = w.cap_records(flat, cap)
     if stage:
         flat = staged(flat, "queue")
     return {

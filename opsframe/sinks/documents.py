@@ -45,30 +45,13 @@ def write_summary_json(
     per_hour: DataFrame,
     meta: Mapping[str, int],
     path: str,
-    max_keys: int = 100_000,
     mode: str = "error",
 ) -> None:
-    """One JSON document with ``per_user`` and ``per_hour`` maps next to the ``meta`` values.
+    """The sections ``per_user`` and ``per_hour`` as JSON lines below ``path``, ``meta`` beside.
 
-    Above ``max_keys`` users and hours a document would have to pass through one task; the two
-    sections are then written as JSON lines below ``path``, the ``meta`` values beside them.
+    The layout is the same for any number of users and hours, so no task holds a section whole.
     """
-
-    def section(df: DataFrame, key: str, name: str) -> DataFrame:
-        stats = F.struct(*[c for c in df.columns if c != key])
-        return df.select(F.struct(F.col(key).alias("key"), stats.alias("value")).alias(name))
-
-    users = section(per_user, "user", "per_user")
-    hours = section(per_hour, "hour", "per_hour")
-    entries = users.unionByName(hours, allowMissingColumns=True)
-    values = [F.lit(value).alias(name) for name, value in meta.items()]
-    if entries.limit(max_keys + 1).count() <= max_keys:
-        document = entries.agg(
-            F.map_from_entries(F.collect_list("per_user")).alias("per_user"),
-            F.map_from_entries(F.collect_list("per_hour")).alias("per_hour"),
-        )
-        document.select(*values, "per_user", "per_hour").write.mode(mode).json(path)
-        return
     per_user.write.mode(mode).json(f"{path}/per_user")
     per_hour.write.mode(mode).json(f"{path}/per_hour")
+    values = [F.lit(value).alias(name) for name, value in meta.items()]
     per_user.sparkSession.range(1).select(*values).write.mode(mode).json(f"{path}/meta")

@@ -73,14 +73,14 @@ def test_change_plan_never_shows_a_secret(spark, tmp_path):
     assert len(scopes) == 4 and SECRET not in str(scopes)
 
 
-def test_a_large_scope_gives_several_maps(spark):
-    keys = [("service", "c", "s", None, f"keystore_password_{i}", "v") for i in range(25)] * 2
+def test_a_large_scope_is_one_map(spark):
+    keys = [("service", "c", "s", None, f"keystore_password_{i}", "v") for i in range(2500)] * 2
     items = spark.createDataFrame(
         keys,
         "scope STRING, cluster STRING, service STRING, role_group STRING, key STRING, value STRING",
     )
-    maps = configs.config_updates_by_scope(items, max_keys=10).collect()
-    assert sorted(len(r["updates"]) for r in maps) == [5, 10, 10]
+    maps = configs.config_updates_by_scope(items).collect()
+    assert [len(r["updates"]) for r in maps] == [2500]
 
 
 def test_rotation(spark, tmp_path):

@@ -4,7 +4,18 @@ import pytest
 from pyspark.sql import functions as F
 
 from opsframe import functions as fn
-from opsframe.functions.keys import PASSWORD_KEYS
+
+# Names that must count as password keys.
+PASSWORD_KEYS = [
+    "ssl_private_key_password",
+    "ssl_server_keystore_password",
+    "ssl_client_keystore_password",
+    "ranger.ssl.keystore.password",
+    "ranger.kms.keystore.password",
+    "hive.ssl.keystore.password",
+    "rangerkms.ssl.keystore.password",
+    "impala.ssl_private_key_password",
+]
 
 
 def value(spark, expression, **columns):
@@ -172,3 +183,29 @@ def test_sets(spark):
 def test_month_cutoff_clamps(spark):
     cutoff = value(spark, fn.epoch_ms_cutoff("2024-03-31 10:00:00"))
     assert cutoff == dt.datetime(2024, 2, 29, 10, tzinfo=dt.timezone.utc).timestamp() * 1000
+
+
+@pytest.mark.parametrize(
+    "text, wanted",
+    [
+        ("2024-01-30T12:00:00.000Z", dt.datetime(2024, 1, 30, 12)),
+        ("2024-01-30T12:00:00.25+02:00", dt.datetime(2024, 1, 30, 10, 0, 0, 250000)),
+        ("2024-01-30 12:00:00.5", dt.datetime(2024, 1, 30, 12, 0, 0, 500000)),
+        ("1969-12-31T23:59:59.999Z", dt.datetime(1969, 12, 31, 23, 59, 59, 999000)),
+        (None, None),
+    ],
+)
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_zone_free(spark, text, wanted, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        frame = spark.createDataFrame([(text,)], "t STRING").select(fn.zone_free(F.col("t")))
+        assert frame.first()[0] == wanted
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_zone_free_refuses_other_text(spark):
+    frame = spark.createDataFrame([("soon",)], "t STRING").select(fn.zone_free(F.col("t")))
+    with pytest.raises(Exception, match="no time: soon"):
+        frame.collect()

@@ -194,12 +194,16 @@ def test_report_files(spark, tmp_path):
     assert (by_id["q2"]["start_ts"], by_id["q2"]["end_ts"]) == ("", "")
     assert by_id["q1"]["source_log"] == path
 
-    text = "".join(p.read_text() for p in (tmp_path / "summary").glob("*.json"))
-    summary = json.loads(text)
-    assert summary["compile_threshold_ms"] == 10000
-    assert summary["union_threshold"] == 3
-    assert summary["parse_errors"] == 0
-    assert summary["per_user"]["ann"] == {
+
+    def section(name):
+        text = "".join(p.read_text() for p in (tmp_path / "summary" / name).glob("*.json"))
+        return [json.loads(line) for line in text.splitlines()]
+
+    meta = section("meta")
+    assert meta == [{"compile_threshold_ms": 10000, "union_threshold": 3, "parse_errors": 0}]
+    users = {row.pop("user"): row for row in section("per_user")}
+    hours = {row.pop("hour"): row for row in section("per_hour")}
+    assert users["ann"] == {
         "total_queries": 2,
         "slow_queries": 1,
         "excessive_union_queries": 1,
@@ -208,7 +212,7 @@ def test_report_files(spark, tmp_path):
         "avg_compile_ms": 10005.0,
     }
     # q2 has no time at all and is in no hour; q3 has only an end time.
-    assert summary["per_hour"] == {
+    assert hours == {
         "2024-11-14 10": {
             "total_queries": 2,
             "slow_queries": 1,
@@ -218,12 +222,12 @@ def test_report_files(spark, tmp_path):
     }
 
 
-def test_many_keys_make_the_summary_lines(spark, tmp_path):
+def test_summary_sections_are_lines(spark, tmp_path):
     from opsframe.sinks import write_summary_json
 
     users = spark.range(5).select(F.col("id").cast("string").alias("user"), F.lit(1).alias("n"))
     hours = spark.range(2).select(F.col("id").cast("string").alias("hour"), F.lit(1).alias("n"))
-    write_summary_json(users, hours, {"parse_errors": 0}, str(tmp_path / "s"), max_keys=3)
+    write_summary_json(users, hours, {"parse_errors": 0}, str(tmp_path / "s"))
     assert spark.read.json(str(tmp_path / "s" / "per_user")).count() == 5
 
 

@@ -131,12 +131,14 @@ def test_bad_kinds(spark):
 
 def test_endpoints(spark):
     names = spark.createDataFrame([("UTATBX",), ("xAVB",), ("PVOS",)], "cluster STRING")
-    sites = objects.endpoint_for(names, missing="null").collect()
+    rules = [("contains", "ATB", "virginia"), ("contains", "AVB", "texas")]
+    sites = objects.endpoint_for(names, rules, missing="null").collect()
     assert [r["site"] for r in sites] == ["virginia", "texas", None]
-    exact = objects.endpoint_for(names, rules=objects.BACKUP_SITE_RULES, missing="null")
+    named = [("equals", "PVOS", "virginia"), ("equals", "PTOS", "texas")]
+    exact = objects.endpoint_for(names, named, missing="null")
     assert [r["site"] for r in exact.collect()] == [None, None, "virginia"]
     with pytest.raises(Exception, match="no site for cluster PVOS"):
-        objects.endpoint_for(names).collect()
+        objects.endpoint_for(names, rules).collect()
 
 
 def test_listing_of_files(spark, tmp_path):

@@ -329,3 +329,15 @@ def test_a_broken_list_is_an_error(spark, folder, text):
     Path(folder("broken.json")).write_text(text)
     with pytest.raises(Exception, match="(?i)malformed|parse|json"):
         sources.scan_policy_list(spark, folder("broken.json")).collect()
+
+
+def test_grants_reach_one_of_two_services_that_share_a_name(spark):
+    item = "array(named_struct('accesses', array(named_struct('type', 'read', 'isAllowed', true)), 'groups', array({})))"
+    both = spark.sql(
+        f"SELECT 1L AS id, 'x' AS name, 'cm_hdfs' AS service, {item.format(chr(39) + 'g' + chr(39))} AS policyItems"
+        f" UNION ALL SELECT 2L, 'x', 'other', {item.format(chr(39) + 'h' + chr(39))}"
+    )
+    grants = spark.createDataFrame([(1, "x", "g", "w")], "row_no INT, policy_name STRING, group_name STRING, permissions STRING")
+    merged = {r["service"]: r["policyItems"] for r in pol.merge_grants(both, grants).collect()}
+    assert [a["type"] for a in merged["cm_hdfs"][0]["accesses"]] == ["read", "write"]
+    assert [(i["groups"], len(i["accesses"])) for i in merged["other"]] == [(["h"], 1)]

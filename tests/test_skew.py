@@ -11,9 +11,8 @@ ROWS = 60000
 
 
 @pytest.fixture
-def skewed(spark, monkeypatch):
-    """No broadcasts, no skew handling by Spark, and a bound for hot keys that fits few rows."""
-    monkeypatch.setattr(ordering, "HOT_ROWS", 1000)
+def skewed(spark):
+    """No broadcasts and no skew handling by Spark."""
     settings = {
         "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",

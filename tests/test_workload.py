@@ -126,7 +126,7 @@ def test_pages_and_report(spark, tmp_path):
     assert tuple(report["congestion"].first()) == (6.0, True)
     slowest = report["slowest"].first()
     assert (slowest["query_id"], slowest["spilled"], slowest["stats"]) == ("a", "YES", "Ok")
-    queues = plans.queue_report(records, "2024-01-02 00:00:00", cap=5000)
+    queues = plans.queue_report(records, "2024-01-02 00:00:00")
     first = queues["coordinators"].first()
     assert (first["total"], first["coordinator"]) == (1, "Unknown")
     assert queues["pools"].first()["queued"] == 1
