@@ -298,6 +298,11 @@ SELECT query_id, "user", CAST(compile_time_ms AS VARCHAR) AS compile_time_ms,
         "compile_log_report_per_user": USER_STATS,
         "compile_log_report_per_hour": HOUR_STATS,
         "compile_log_report_quality": QUALITY,
+        "write_summary_json_per_user": USER_STATS,
+        "write_summary_json_per_hour": HOUR_STATS,
+        "scan_log_lines": """
+SELECT CAST(event_id AS VARCHAR) || '|' || event_type AS line, event_id % 2 = 1 AS first_argument
+FROM events""",
         "count_union_all": """
 SELECT doc_id, CAST((length(text) - length(replace(text, '. ', ''))) / 2 AS BIGINT) AS n_unions
 FROM documents""",
@@ -417,6 +422,14 @@ SELECT o_orderkey AS id, 'role_' || CAST(o_orderkey AS VARCHAR) AS name FROM ord
         "scan_grants_csv": MERGE,
         "scan_config_tree": f"""
 WITH {CONFIG} SELECT scope, cluster, service, role_group, key, value FROM cfg""",
+        "scan_config_tree_scopes": f"""
+WITH {CONFIG}, scopes(scope, in_cluster, role_group) AS (VALUES ('service', true, NULL),
+  ('role_group', true, 'rg'), ('manager', false, NULL), ('management_service', false, NULL),
+  ('management_role_group', false, 'mrg')), own(is_own) AS (VALUES (true), (false))
+SELECT s.scope, CASE WHEN in_cluster THEN cluster END AS cluster,
+  CASE WHEN in_cluster THEN service END AS service, s.role_group,
+  CASE WHEN is_own THEN key ELSE 'path' END AS key, value
+FROM cfg, scopes s, own WHERE is_own OR s.scope <> 'manager'""",
         "scan_services": f"""
 WITH {SERVICES} SELECT service, CAST((row_number() OVER (PARTITION BY ord // 50 ORDER BY ord) - 1)
   AS INT) AS place FROM svc""",
@@ -439,6 +452,9 @@ SELECT o_custkey, min(o_orderkey) AS o_orderkey, arg_min(o_orderstatus, o_orderk
 SELECT o_orderkey AS index, 'role_' || CAST(o_orderkey AS VARCHAR) AS name,
   CASE o_orderstatus WHEN 'F' THEN 200 WHEN 'O' THEN 400 END AS status FROM orders
 UNION ALL SELECT c_custkey, NULL, NULL FROM customer""",
+        "scan_object_listing": """
+SELECT 'in/o_orderstatus=' || o_orderstatus AS folder,
+  CAST(sum(strlen(o_orderpriority) + 2) AS BIGINT) AS bytes FROM orders GROUP BY o_orderstatus""",
         "expired_folders": f"""
 WITH {FLAT_KEYS} SELECT folder, strftime(CAST(day AS TIMESTAMP), '%Y-%m-%d %H:%M:%S.%g')
   AS folder_ts, count(*) AS n_objects FROM doomed GROUP BY 1, 2""",

@@ -64,6 +64,31 @@ def _csv(spark, sf):
     return spark.read.csv(path, header=True, escape='"').drop("source_log")
 
 
+def _summary(section: str) -> Query:
+    def run(spark, sf):
+        path = shared_dir(spark, "summary")
+        report = plans.compile_log_report(spark, d.log_files(spark, sf))
+        report.write(shared_dir(spark, "records-csv"), path)
+        report.close()
+        return spark.read.json(f"{path}/{section}")
+
+    return run
+
+
+def _scan_lines(spark, sf):
+    """Two arguments, the first of them compressed: its lines rank before all others."""
+    path = shared_dir(spark, "lines")
+    events = d.table(spark, sf, "events")
+    zipped, plain = f"{path}/zipped", f"{path}/plain"
+    text = F.concat_ws("|", "event_id", "event_type").alias("value")
+    events.where("event_id % 2 = 1").select(text).write.text(zipped, compression="gzip")
+    events.where("event_id % 2 = 0").select(text).write.text(plain)
+    lines = sources.scan_log_lines(spark, [zipped, plain])
+    first_plain = F.min(F.when(F.col("source_log").contains("/plain/"), F.col("file_rank")))
+    start = lines.agg(first_plain.alias("rank")).scalar()
+    return lines.select("line", (F.col("file_rank") < start).alias("first_argument"))
+
+
 def _report(part: str) -> Query:
     def run(spark, sf):
         report = plans.compile_log_report(spark, d.log_files(spark, sf))
@@ -301,6 +326,39 @@ def _config_tree(spark, sf):
     return sources.scan_config_tree(spark, path, lines=True)
 
 
+def _config_scopes(spark, sf):
+    path = shared_dir(spark, "config-scopes")
+    own = F.struct(F.col("key").alias("name"), "value")
+    place = F.struct(F.lit("path").alias("name"), F.col("value"))
+
+    def settings(*items: Column) -> Column:
+        return F.struct(F.array(*items).alias("items")).alias("config")
+
+    def group(name: str) -> Column:
+        return F.array(F.struct(F.lit(name).alias("name"), settings(own, place)))
+
+    service = F.struct(
+        F.col("service").alias("name"), settings(own, place), group("rg").alias("roleConfigGroups")
+    )
+    cluster = F.struct(F.col("cluster").alias("name"), F.array(service).alias("services"))
+    d.config_items(spark, sf).select(
+        F.array(cluster).alias("clusters"),
+        F.struct(settings(own)).alias("manager"),
+        F.struct(settings(place, own), group("mrg").alias("roleConfigGroups")).alias("management"),
+    ).write.json(path)
+    return sources.scan_config_tree(spark, path, lines=True)
+
+
+def _object_files(spark, sf):
+    path = shared_dir(spark, "objects")
+    d.table(spark, sf, "orders").select(
+        "o_orderstatus", F.concat("o_orderpriority", F.lit("x")).alias("value")
+    ).write.partitionBy("o_orderstatus").text(f"{path}/in")
+    found = sources.scan_object_listing(spark, path, "in/o_orderstatus=")
+    folder = F.substring_index("key", "/", 2)
+    return found.groupBy(folder.alias("folder")).agg(F.sum("length").alias("bytes"))
+
+
 def _service_lists(spark, sf):
     path = shared_dir(spark, "service-lists")
     rows = d.services(spark, sf).groupBy(F.floor(F.col("ord") / 50).alias("page"))
@@ -540,6 +598,9 @@ def all_queries() -> dict[str, Query]:
         "compile_log_report_per_user": _report("per_user"),
         "compile_log_report_per_hour": _report("per_hour"),
         "compile_log_report_quality": _report("quality"),
+        "write_summary_json_per_user": _summary("per_user"),
+        "write_summary_json_per_hour": _summary("per_hour"),
+        "scan_log_lines": _scan_lines,
         "count_union_all": _documents(_count_unions, "n_unions"),
         "truncate_query": _documents(fn.truncate_query, "query"),
         "strip_ws": _documents(
@@ -612,6 +673,7 @@ def all_queries() -> dict[str, Query]:
         "first_per_key": _first,
         "concat_pages": _pages,
         # objects and rows
+        "scan_object_listing": _object_files,
         "expired_folders": _folders("flat"),
         "expired_folders_clustered": _folders("clustered"),
         "retention_plan": _retention_plan,
@@ -626,6 +688,7 @@ def all_queries() -> dict[str, Query]:
         # configuration
         "config_change_plan": lambda s, sf: plans.config_change_plan(d.config_items(s, sf)),
         "scan_config_tree": _config_tree,
+        "scan_config_tree_scopes": _config_scopes,
         "scan_services": _service_lists,
         "config_updates_by_scope": _scope_maps,
         "is_password_key": _password_keys,

@@ -18,7 +18,7 @@ from opsframe.operators.logs import (
     with_compile_flags,
 )
 from opsframe.schemas import COMPILE_RECORD_COLUMNS
-from opsframe.session import staged
+from opsframe.session import discard, staged
 from opsframe.sinks import write_csv, write_summary_json
 from opsframe.sources import scan_log_lines
 
@@ -30,6 +30,7 @@ class CompileLogReport:
     per_hour: DataFrame
     quality: DataFrame
     thresholds: dict[str, int]
+    tables: tuple[DataFrame, ...] = ()
 
     def write(self, csv_path: str, summary_path: str) -> None:
         """The records as CSV, the statistics as a JSON summary."""
@@ -38,6 +39,10 @@ class CompileLogReport:
         meta = {**self.thresholds, "parse_errors": errors}
         write_summary_json(self.per_user, self.per_hour, meta, summary_path)
 
+    def close(self) -> None:
+        """Delete what the report staged; its results cannot be read afterwards."""
+        discard(*self.tables)
+
 
 def compile_log_report(
     spark: SparkSession,
@@ -69,4 +74,5 @@ def compile_log_report(
             "compile_threshold_ms": compile_threshold_ms,
             "union_threshold": union_threshold,
         },
+        tables=(events, records) if stage else (),
     )

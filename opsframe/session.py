@@ -80,11 +80,15 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete what ``staged`` wrote for these tables; nothing may read them afterwards."""
     for table in tables:
-        spark = table.sparkSession
-        jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
         for folder in {file.rpartition("/")[0] for file in table.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(conf).delete(path, True)
+            delete_folder(table.sparkSession, folder)
+
+
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of tables on whatever storage it lies; a missing one is no error."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    path.getFileSystem(conf).delete(path, True)
 
 
 def as_instant(now: str | date | datetime | Column | None) -> Column:

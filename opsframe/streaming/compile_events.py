@@ -24,7 +24,7 @@ from opsframe.operators.logs import (
     with_compile_flags,
 )
 from opsframe.schemas import COMPILE_RECORD_COLUMNS
-from opsframe.session import as_instant
+from opsframe.session import as_instant, delete_folder
 
 RECORD_DDL = (
     "query_id STRING, user STRING, compile_time_ms BIGINT, union_count INT, "
@@ -101,6 +101,9 @@ def stream_compile_records(
             ).write.mode("overwrite").parquet(f"{out}/unfinished/batch={batch}")
             waiting = aged.where(~gone)
         waiting.drop("status").write.mode("overwrite").parquet(f"{out}/open/batch={batch}")
+        # A batch that runs again reads the set before it; older ones are of no use.
+        if batch > 1:
+            delete_folder(spark, f"{out}/open/batch={batch - 2}")
 
     writer = lines_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
