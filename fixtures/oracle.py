@@ -415,6 +415,12 @@ WITH {POL} SELECT id, CASE WHEN service = 'cm_hive' THEN matched ELSE original E
   CASE item WHEN 0 THEN array_to_string(list_sort(list_distinct([p_type, 'all', p_brand])), '|')
     ELSE p_brand END AS "groups", 0 AS n_roles
 FROM urls, (VALUES (0), (1)) AS items(item)""",
+        "migrate_policies_documents": f"""
+WITH {POL} SELECT id, CASE WHEN id % 3 > 0 THEN 'denyPolicyItems|' ELSE '' END
+    || 'description|id|isEnabled|name|policyItems|resources|service' AS fields,
+  CAST(id % 2 = 0 AS VARCHAR) AS enabled, 'say "' || name || '", {{ok}}' AS description,
+  CASE WHEN id % 3 > 0 THEN '[{{"delegateAdmin":true,"users":["' || name || '"]}}]' END AS denied,
+  'true' AS delegate FROM pol""",
         "scan_policy_list": URLS_ALL,
         "scan_policy_map": f"WITH {POL} SELECT id, name, service FROM pol",
         "scan_document_pages": """

@@ -262,6 +262,30 @@ def _migrate(spark, sf):
     )
 
 
+def _migrate_files(spark, sf):
+    """From file to file, with fields that no operator knows."""
+    path, out = shared_dir(spark, "policies"), shared_dir(spark, "policies-migrated")
+    denied = F.array(F.struct(F.array("name").alias("users"), F.lit(True).alias("delegateAdmin")))
+    d.policies(spark, sf).drop("ord").withColumns(
+        {
+            "isEnabled": F.col("id") % 2 == 0,
+            "description": F.concat(F.lit('say "'), "name", F.lit('", {ok}')),
+            "denyPolicyItems": F.when(F.col("id") % 3 > 0, denied),
+        }
+    ).write.json(path)
+    policies = sources.scan_policy_list(spark, path, lines=True)
+    sinks.write_documents_json(plans.migrate_policies(policies, "urls_matched"), out)
+    text = F.col("value")
+    return spark.read.text(out).select(
+        F.get_json_object(text, "$.id").cast("bigint").alias("id"),
+        F.array_join(F.array_sort(F.json_object_keys(text)), "|").alias("fields"),
+        F.get_json_object(text, "$.isEnabled").alias("enabled"),
+        F.get_json_object(text, "$.description").alias("description"),
+        F.get_json_object(text, "$.denyPolicyItems").alias("denied"),
+        F.get_json_object(text, "$.policyItems[1].delegateAdmin").alias("delegate"),
+    )
+
+
 def _policy_files(spark, sf):
     path = shared_dir(spark, "policies")
     sinks.write_documents_json(d.policies(spark, sf), path)
@@ -663,6 +687,7 @@ def all_queries() -> dict[str, Query]:
         "parse_permissions": _permissions,
         "page_completeness": _page_completeness,
         "migrate_policies": _migrate,
+        "migrate_policies_documents": _migrate_files,
         "scan_policy_list": _policy_files,
         "scan_documents": _policy_pages,
         "scan_policy_map": _policy_map,

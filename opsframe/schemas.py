@@ -3,7 +3,8 @@
 ACCESS = "STRUCT<type: STRING, isAllowed: BOOLEAN>"
 POLICY_ITEM = (
     f"STRUCT<accesses: ARRAY<{ACCESS}>, users: ARRAY<STRING>, groups: ARRAY<STRING>, "
-    "roles: ARRAY<STRING>, delegateAdmin: BOOLEAN>"
+    "roles: ARRAY<STRING>, delegateAdmin: BOOLEAN, "
+    "conditions: ARRAY<STRUCT<type: STRING, values: ARRAY<STRING>>>>"
 )
 RESOURCES = "MAP<STRING, STRUCT<values: ARRAY<STRING>, isExcludes: BOOLEAN, isRecursive: BOOLEAN>>"
 POLICY_DDL = (

@@ -16,6 +16,15 @@ def _by_place(a: Column, b: Column) -> Column:
     return F.when(before, -1).when(after, 1).otherwise(0)
 
 
+def _joined_objects(one: Column, other: Column) -> Column:
+    """One JSON object of two that share no field."""
+    head = F.substr(one, F.lit(1), F.length(one) - 1)
+    tail = F.substr(other, F.lit(2))
+    both = F.concat(head, F.lit(","), tail)
+    nothing = other.isNull() | (other == "{}")
+    return F.when(nothing, one).when(one == "{}", other).otherwise(both).alias("value")
+
+
 def write_documents_json(
     df: DataFrame,
     path: str,
@@ -27,9 +36,15 @@ def write_documents_json(
     """One document per line, nulls kept; or pages ``{envelope: [..]}``, one per line.
 
     A page holds at most ``page_size`` documents, so that no task has to hold them all. The
-    ``order`` columns place the documents and are not written.
+    ``order`` columns place the documents and are not written. A column ``rest`` holds further
+    fields of a line as a JSON object, as a scan found them; with it, nulls are not written, as
+    they stand for fields that the document never had.
     """
     documents = [c for c in df.columns if c not in order]
+    if envelope is None and "rest" in documents:
+        known = F.to_json(F.struct(*[c for c in documents if c != "rest"]))
+        df.select(_joined_objects(known, F.col("rest"))).write.mode(mode).text(path)
+        return
     if envelope is None:
         out = df.select(*documents)
     else:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from opsframe.schemas import POLICY_DDL, ROLE_DDL
 
@@ -74,21 +75,26 @@ def scan_policy_list(
 ) -> DataFrame:
     """A JSON list of policies as rows; anything but a list is an error.
 
-    ``lines`` reads one policy per line, the splittable form that the sink writes.
+    ``rest`` is a JSON object of all fields that ``ddl`` does not name, for the sink to write
+    back. ``lines`` reads one policy per line, the splittable form that the sink writes.
     """
-    if lines:
-        return spark.read.schema(ddl).json(path, mode=STRICT["mode"]).select(
-            "*",
-            F.struct(
-                F.col("_metadata.file_path").alias("doc_file"),
-                F.monotonically_increasing_id().alias("doc_row"),
-                F.lit(0).alias("doc_pos"),
-            ).alias("ord"),
-        )
-    texts = _texts(spark, path, lines=False)
+    texts = _texts(spark, path, lines)
     text = F.col("text")
-    not_list = F.raise_error(F.concat(F.lit("expected a list at the top of "), "doc_file"))
-    return _rows(texts, F.when(_is_list(text), _list_of(text, ddl)).otherwise(not_list))
+    if lines:
+        typed = F.array(F.from_json(text, ddl, STRICT))
+        other = F.array(F.from_json(text, "MAP<STRING, VARIANT>", STRICT))
+    else:
+        not_list = F.raise_error(F.concat(F.lit("expected a list at the top of "), "doc_file"))
+        typed = F.when(_is_list(text), _list_of(text, ddl)).otherwise(not_list)
+        other = F.from_json(text, "ARRAY<MAP<STRING, VARIANT>>", STRICT)
+    named = [field.name for field in StructType.fromDDL(ddl)]
+    pairs = F.arrays_zip(typed.alias("doc"), other.alias("other"))
+    rest = F.map_filter(F.col("pair.other"), lambda key, value: ~key.isin(named))
+    return texts.select("doc_file", "doc_row", F.posexplode(pairs).alias("doc_pos", "pair")).select(
+        "pair.doc.*",
+        F.to_json(rest).alias("rest"),
+        F.struct("doc_file", "doc_row", "doc_pos").alias("ord"),
+    )
 
 
 def scan_policy_map(

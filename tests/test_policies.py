@@ -341,3 +341,21 @@ def test_grants_reach_one_of_two_services_that_share_a_name(spark):
     merged = {r["service"]: r["policyItems"] for r in pol.merge_grants(both, grants).collect()}
     assert [a["type"] for a in merged["cm_hdfs"][0]["accesses"]] == ["read", "write"]
     assert [(i["groups"], len(i["accesses"])) for i in merged["other"]] == [(["h"], 1)]
+
+
+def test_fields_that_no_operator_knows_survive(spark, tmp_path):
+    known = {"id": 1, "name": "x", "service": "cm_hive", "policyItems": []}
+    rest = {"isEnabled": True, "denyPolicyItems": [{"groups": ["g"]}], "guid": "}, {\"", "validity": {}}
+    docs = [{**known, **rest}, {"id": 2, "name": "y"}, {"policyType": 0}, {}]
+    path = put(tmp_path, "whole.json", json.dumps(docs))
+    scanned = sources.scan_policy_list(spark, path)
+    for i, rows in enumerate([scanned, None]):
+        if rows is None:
+            rows = sources.scan_policy_list(spark, str(tmp_path / "out0"), lines=True)
+        sinks.write_documents_json(rows, str(tmp_path / f"out{i}"))
+        lines = [
+            json.loads(line)
+            for part in sorted((tmp_path / f"out{i}").glob("part-*"))
+            for line in part.read_text().splitlines()
+        ]
+        assert sorted(lines, key=str) == sorted(docs, key=str)
