@@ -3,8 +3,8 @@
 Packing goes in two levels, so that neither a task nor the driver ever holds all groups. Groups of
 equal texts are dealt into a fixed number of buckets by a hash; each bucket streams its groups,
 largest first, into parcels of a small fixed capacity. The parcels, whose number is bounded
-whatever the input, are packed into the shards on the driver, with the least capacity for which
-best fit needs no more shards than asked for.
+whatever the input, are packed into the shards on the driver: those above the mean get a shard
+each, the others go by best fit with the least capacity that needs no more shards than are left.
 """
 
 from __future__ import annotations
@@ -91,18 +91,48 @@ def best_fit_decreasing(sizes: Iterable[int], capacity: int) -> list[int]:
 
 
 def fewest_bytes(sizes: list[int], shards: int) -> list[int]:
-    """A bin below ``shards`` for each item, by best fit with the least capacity that suffices."""
-    low = max([-(-sum(sizes) // shards), *sizes], default=1)
+    """A bin below ``shards`` for each item.
+
+    An item above the mean of what is left gets a bin of its own; the others go by best fit into
+    the bins left, with the least capacity that suffices. Bins that best fit left empty then take
+    over a part of the fullest one that can be split.
+    """
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    left, alone = sum(sizes), 0
+    while alone < len(order) and sizes[order[alone]] * (shards - alone) > left:
+        left -= sizes[order[alone]]
+        alone += 1
+    bins = [[i] for i in order[:alone]]
+    if alone < len(order):
+        bins += _least_capacity(order[alone:], sizes, shards - alone)
+    while len(bins) < min(shards, len(sizes)):
+        fullest = max((b for b in bins if len(b) > 1), key=lambda b: sum(sizes[i] for i in b))
+        bins.remove(fullest)
+        bins += _least_capacity(fullest, sizes, 2)
+    placed = [0] * len(sizes)
+    for number, items in enumerate(bins):
+        for i in items:
+            placed[i] = number
+    return placed
+
+
+def _least_capacity(items: list[int], sizes: list[int], shards: int) -> list[list[int]]:
+    """The items of each bin, by best fit with the least capacity that needs at most ``shards``."""
+    held = [sizes[i] for i in items]
+    low = max(-(-sum(held) // shards), *held)
     high = max(2 * low, 1)
-    placed = best_fit_decreasing(sizes, high)
+    placed = best_fit_decreasing(held, high)
     while low < high:
         middle = (low + high) // 2
-        trial = best_fit_decreasing(sizes, middle)
-        if max(trial, default=0) < shards:
+        trial = best_fit_decreasing(held, middle)
+        if max(trial) < shards:
             high, placed = middle, trial
         else:
             low = middle + 1
-    return placed
+    bins: list[list[int]] = [[] for _ in range(max(placed) + 1)]
+    for i, number in zip(items, placed):
+        bins[number].append(i)
+    return bins
 
 
 def assign_shards(
@@ -112,9 +142,10 @@ def assign_shards(
 
     ``size`` is the text's UTF-8 bytes plus one, ``slot`` counts a shard's rows from 0 without a
     gap. Shards differ in bytes as little as best fit on parcels of a 4096th allows; a group of
-    equal texts (null and empty count as equal) that is larger than a shard's part makes its shard
-    as much larger. Equal rows take any of their slots. No rows give no rows. Columns of ``docs``
-    with the names of the four new ones are replaced.
+    equal texts (null and empty count as equal) that is larger than a shard's part has a shard to
+    itself, and the others share what is left as evenly. No shard is empty if there are as many
+    parcels. Equal rows take any of their slots. No rows give no rows. Columns of ``docs`` with the
+    names of the four new ones are replaced.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
