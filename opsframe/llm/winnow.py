@@ -23,7 +23,9 @@ BLOCK = 4096
 
 _PLACE_BITS = 24
 _PIECE = 1 << 23
-_SHAPE = "kind int, hash long, ctx long, id long, place long"
+#: A span's place is its begin and, in the low bits, the number of its windows less one.
+_MORE_BITS = 31
+_SHAPE = "kind int, hash long, ctx long, id long, part long, place long"
 Units = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
@@ -39,12 +41,12 @@ def word_units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, part, text): the id as given and, for comparisons, without nulls; ``part`` tells
-    texts that share an id apart. A null id comes before all others."""
+    """(doc, id, part, text): the id as given and, for comparisons, without nulls; ``part`` is a
+    64-bit hash that tells texts which share an id apart. A null id comes before all others."""
     return docs.select(
         F.col(id_col).cast("long").alias("doc"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"),
-        F.pmod(F.xxhash64(text_col), F.lit(1 << 24)).alias("part"),
+        F.xxhash64(text_col).alias("part"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
 
@@ -59,22 +61,23 @@ def spans(
     earlier is open. Windows that are in neither occur nowhere earlier. Earlier is by id, then for
     texts that share an id by a hash of the text, then by place.
     """
+    if not 0 < gram <= window <= _PIECE:
+        raise ValueError(f"window: from {gram} to {_PIECE} units")
     found = texts.select("id", "part", "text").mapInArrow(_anchored(units, window, gram), _SHAPE)
     split = (
         found.repartition("hash")
-        .sortWithinPartitions("kind", "hash", "ctx", "id", "place")
-        .mapInArrow(_resolved(block), "kind int, hash long, block int, id long, place long")
+        .sortWithinPartitions("kind", "hash", "ctx", "id", "part", "place")
+        .mapInArrow(_resolved(block), "kind int, hash long, block int, id long, part long, place long")
     )
-    # place holds the part, the begin and the number of windows less one.
-    begin = F.shiftright("place", 7).bitwiseAND(F.lit((1 << 32) - 1))
-    more = F.col("place").bitwiseAND(F.lit(127))
+    begin = F.shiftright("place", _MORE_BITS)
+    more = F.col("place").bitwiseAND(F.lit((1 << _MORE_BITS) - 1))
     return staged(
         split.select(
             "kind",
             "hash",
             "block",
             "id",
-            F.shiftright("place", 39).alias("part"),
+            "part",
             begin.alias("begin"),
             (begin + more + window).alias("end"),
         ),
@@ -196,29 +199,34 @@ def _anchored(units: Units, window: int, gram: int):
                 values, begins = units(data, offsets)
                 for text, a, more, hashes, ctx in _anchors(values, begins, window, gram):
                     text = text + row
-                    place = (parts[text] << 39) | ((a - begins[text - row]) << 7) | more
-                    found.append((hashes, ctx, ids[text], place))
+                    place = ((a - begins[text - row]) << _MORE_BITS) | more
+                    found.append((hashes, ctx, ids[text], parts[text], place))
             if not found:
                 continue
-            hashes, ctx, id_, place = (np.concatenate(x) for x in zip(*found))
-            order = np.lexsort((place, id_, ctx))
-            hashes, ctx, id_, place = hashes[order], ctx[order], id_[order], place[order]
+            hashes, ctx, id_, part, place = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((place, part, id_, ctx))
+            hashes, ctx, id_, part, place = (x[order] for x in (hashes, ctx, id_, part, place))
             first = np.ones(len(ctx), bool)
             first[1:] = ctx[1:] != ctx[:-1]
             head = np.maximum.accumulate(np.where(first, np.arange(len(ctx)), 0))
-            keep = first | (id_ != id_[head]) | (place != place[head])  # not a repeated row
-            first, hashes, ctx, id_, place = (x[keep] for x in (first, hashes, ctx, id_, place))
+            # Without repeated rows.
+            keep = first | (id_ != id_[head]) | (part != part[head]) | (place != place[head])
+            first, hashes, ctx, id_, part, place = (
+                x[keep] for x in (first, hashes, ctx, id_, part, place)
+            )
             # Repeats go anywhere: only what may be first has to meet at its hash.
-            anywhere = mix(place.view(np.uint64) ^ mix(id_.view(np.uint64)))
+            anywhere = mix(id_.view(np.uint64)) ^ part.view(np.uint64)
+            anywhere = mix(place.view(np.uint64) ^ mix(anywhere))
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array((~first).astype(np.int32)),
                     pa.array(np.where(first, hashes, anywhere).view(np.int64)),
                     pa.array(ctx.view(np.int64)),
                     pa.array(id_),
+                    pa.array(part),
                     pa.array(place),
                 ],
-                names=["kind", "hash", "ctx", "id", "place"],
+                names=["kind", "hash", "ctx", "id", "part", "place"],
             )
 
     return run
@@ -266,24 +274,28 @@ def _resolved(block: int):
     def run(batches):
         held, number, given = None, 0, False  # the open content's first span, its number at the hash
         for batch in batches:
-            cols = [batch.column(c).to_numpy() for c in ("kind", "hash", "ctx", "id", "place")]
+            cols = [batch.column(c).to_numpy() for c in ("kind", "hash", "ctx", "id", "part", "place")]
             done = cols[0] == 1
-            out = [(np.ones(int(done.sum()), np.int32), *(cols[i][done] for i in (1, 3, 4)))]
+            out = [(np.ones(int(done.sum()), np.int32), *(cols[i][done] for i in (1, 3, 4, 5)))]
             blocks_out = [np.zeros(int(done.sum()), np.int32)]
-            hashes, ctx, id_, place = (c[~done] for c in cols[1:])
+            hashes, ctx, id_, part, place = (c[~done] for c in cols[1:])
             if len(hashes):
                 kept = held is not None
                 if kept:
-                    hashes, ctx, id_, place = (
-                        np.concatenate([[h], x]) for h, x in zip(held, (hashes, ctx, id_, place))
+                    hashes, ctx, id_, part, place = (
+                        np.concatenate([[h], x])
+                        for h, x in zip(held, (hashes, ctx, id_, part, place))
                     )
                 here = np.arange(len(hashes))
                 new_hash, new_ctx = np.ones(len(hashes), bool), np.ones(len(hashes), bool)
                 new_hash[1:] = hashes[1:] != hashes[:-1]
                 new_ctx[1:] = new_hash[1:] | (ctx[1:] != ctx[:-1])
                 first = np.maximum.accumulate(np.where(new_ctx, here, 0))
-                again = ~new_ctx & ((id_ != id_[first]) | (place != place[first]))
-                out.append((np.ones(int(again.sum()), np.int32), hashes[again], id_[again], place[again]))
+                again = ~new_ctx & (
+                    (id_ != id_[first]) | (part != part[first]) | (place != place[first])
+                )
+                ones = np.ones(int(again.sum()), np.int32)
+                out.append((ones, hashes[again], id_[again], part[again], place[again]))
                 blocks_out.append(np.zeros(int(again.sum()), np.int32))
                 # The contents of each hash, counted on from what earlier batches held of it.
                 heads = np.flatnonzero(new_ctx)
@@ -297,14 +309,16 @@ def _resolved(block: int):
                 if kept and given:
                     open_[0] = False
                 rows = heads[open_]
-                out.append((np.full(len(rows), 2, np.int32), hashes[rows], id_[rows], place[rows]))
+                twos = np.full(len(rows), 2, np.int32)
+                out.append((twos, hashes[rows], id_[rows], part[rows], place[rows]))
                 blocks_out.append((order[open_] // block).astype(np.int32))
-                held = (hashes[heads[-1]], ctx[heads[-1]], id_[heads[-1]], place[heads[-1]])
+                held = tuple(x[heads[-1]] for x in (hashes, ctx, id_, part, place))
                 number, given = int(order[-1]), bool(total[-1] > 1)
-            kind, hashes, id_, place = (np.concatenate(x) for x in zip(*out))
+            kind, hashes, id_, part, place = (np.concatenate(x) for x in zip(*out))
+            columns = [kind, hashes, np.concatenate(blocks_out), id_, part, place]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(kind), pa.array(hashes), pa.array(np.concatenate(blocks_out)), pa.array(id_), pa.array(place)],
-                names=["kind", "hash", "block", "id", "place"],
+                [pa.array(c) for c in columns],
+                names=["kind", "hash", "block", "id", "part", "place"],
             )
 
     return run

@@ -2,7 +2,12 @@
 
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from opsframe.llm.sharding import assign_shards, fewest_bytes
+from opsframe.llm.substring_dedup import remove_repeated_passages
+from opsframe.llm.suffix_dedup import remove_repeated_bytes
 
 
 def test_a_third_of_all_bytes_in_one_group_leaves_no_shard_empty(spark):
@@ -32,3 +37,52 @@ def test_bins_of_large_and_of_few_items():
     assert loads([100, 60, *[1] * 30], 4) == [15, 15, 60, 100]
     assert loads([2] * 10, 8) == [2, 2, 2, 2, 2, 2, 4, 4] and loads([5, 3], 4) == [0, 0, 3, 5]
     assert fewest_bytes([], 8) == [] and loads([7], 1) == [7]
+
+
+def test_texts_of_one_id_with_like_hashes_keep_apart(spark):
+    # ``again`` repeats its own words, ``once`` repeats nothing; their hashes agree in 24 bits.
+    word = F.concat(F.lit("w"), F.col("id").cast("string"))
+    again = F.array_join(F.array_repeat(word, 60), " ")
+    once = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: F.concat_ws("x", word, i)), " ")
+    ids = spark.range(30_000)
+    low = F.pmod(F.xxhash64("text"), F.lit(1 << 24))
+    left = ids.select(again.alias("text")).select(F.col("text").alias("again"), low.alias("low"))
+    right = ids.select(once.alias("text")).select(F.col("text").alias("once"), low.alias("low"))
+    pair = left.join(right, "low").orderBy("again").first()
+    rows = [(None, pair["again"]), (None, pair["once"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for dedup in (remove_repeated_bytes, remove_repeated_passages):
+        kept = {r["kept"].decode() for r in dedup(df).collect()}
+        assert pair["once"] in kept and pair["again"] not in kept and len(kept) == 2
+
+
+def _removed(units, window, seen):
+    """Which units lie in a window that was seen earlier."""
+    gone = [False] * len(units)
+    for at in range(len(units) - window + 1):
+        held = tuple(units[at : at + window])
+        if held in seen:
+            gone[at : at + window] = [True] * window
+        seen.add(held)
+    return gone
+
+
+@pytest.mark.parametrize("window", [152, 400])
+def test_windows_longer_than_a_span_had_room_for(spark, window):
+    rng = random.Random(window)
+    core = [f"{rng.randrange(1000)}" for _ in range(1200)]
+    texts = []
+    for i in range(6):
+        at = rng.randrange(300)
+        texts.append(" ".join([f"a{i}"] * (i * 7) + core[at : at + 700] + [f"b{i}"]))
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    found = {r["doc_id"]: r["kept"] for r in remove_repeated_bytes(df, length=window).collect()}
+    seen = set()
+    for i, text in enumerate(texts):
+        gone = _removed(text.encode(), window, seen)
+        assert found[i] == bytes(b for b, g in zip(text.encode(), gone) if not g)
+    found = {r["doc_id"]: r["kept"].decode() for r in remove_repeated_passages(df, window=window).collect()}
+    seen = set()
+    for i, text in enumerate(texts):
+        gone = _removed(text.split(), window, seen)
+        assert found[i].split() == [w for w, g in zip(text.split(), gone) if not g]
