@@ -5,10 +5,16 @@ queries, the largest inner products are the smallest distances. Both sides are g
 nearest pivot. From each cell's radius and its few smallest distances follows, for every cell of
 queries, a distance within which all answers lie; a data row is sent only where that reaches.
 Equal vectors count once, with the few smallest ids that any answer can hold.
+
+A query's own id is dropped only after rows were cut, as queries with equal vectors share their
+answers. So every cut leaves ``k`` rows besides those of any one id, however many it has; an id
+needs no more than ``k`` rows itself.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -54,18 +60,22 @@ def top_k(
         df = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
         return df.where(F.col("id").isNotNull() & F.col("vec").isNotNull())
 
-    # k + 1 ids, as a query may be one of them; the limit is kept before the shuffle.
+    # k + 1 different ids, as one may be the query's; the limit is kept before the shuffle.
     nearest_ids = Window.partitionBy("vec").orderBy("id")
     groups = staged(
         clean(data)
+        .groupBy("vec", "id")
+        .agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
         .withColumn("place", F.row_number().over(nearest_ids))
         .where(F.col("place") <= k + 1)
         .groupBy("vec")
-        .agg(F.array_sort(F.collect_list("id")).alias("ids")),
+        .agg(F.array_sort(F.flatten(F.collect_list(F.array_repeat("id", F.col("copies"))))).alias("ids")),
         "knn-data",
     )
     asked = staged(clean(queries), "knn-queries")
-    sought = asked.groupBy("vec").agg(F.min("id").alias("query"))
+    # A number for each vector asked for, as an id may ask for several.
+    sought = asked.select("vec").distinct().withColumn("query", F.monotonically_increasing_id())
+    sought = staged(sought, "knn-sought")
     length = F.aggregate("vec", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
     shape = groups.agg(F.max(length).alias("top"), F.max(F.size("vec")).alias("width"), F.count("*").alias("n")).first()
     wide = sought.agg(F.max(F.size("vec")).alias("width"), F.count("*").alias("n")).first()
@@ -89,17 +99,20 @@ def top_k(
         ).drop("far"),
         "knn-query-cells",
     )
-    # Summaries: a row per cell, and the k + 1 smallest distances in each cell of data.
+    # Summaries: a row per cell, and the smallest distances in each cell of data.
     near = Window.partitionBy("cell").orderBy("away")
+    near_of_id = Window.partitionBy("cell", "id").orderBy("away")
     least = (
-        placed.select("cell", "away")
+        placed.select("cell", "away", F.explode("ids").alias("id"))
+        .withColumn("place", F.row_number().over(near_of_id))
+        .where(F.col("place") <= k)
         .withColumn("place", F.row_number().over(near))
-        .where(F.col("place") <= k + 1)
-        .select("cell", "away")
+        .where(F.col("place") <= 2 * k)
+        .select("cell", "away", "id")
         .collect()
     )
     radii = cells.groupBy("cell").agg(F.max("away").alias("radius"), F.count("*").alias("n")).collect()
-    reach = _reach(centres, least, radii, k + 1)
+    reach = _reach(centres, least, radii, k)
     # Cells go into groups of about QUERIES; a larger cell is dealt over several groups.
     group_of = _grouped(radii)
     table = spark.createDataFrame(
@@ -124,11 +137,17 @@ def top_k(
     right = sent.groupBy("grp", "slice")
     left = cells.select("grp", every.alias("slice"), "query", "vec").groupBy("grp", "slice")
     answers = left.cogroup(right).applyInArrow(
-        _solve(k + 1, width), "query long, id long, score long"
+        _solve(k, width), "query long, id long, score long"
     )
     best = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    best_of_id = Window.partitionBy("query", "id").orderBy(F.desc("score"))
     answers = (
-        answers.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k + 1).drop("place")
+        answers.repartition("query")
+        .withColumn("place", F.row_number().over(best_of_id))
+        .where(F.col("place") <= k)
+        .withColumn("place", F.row_number().over(best))
+        .where(F.col("place") <= 2 * k)
+        .drop("place")
     )
     # Answers of a vector are those of every query that has it, without its own id.
     names = asked.join(sought, "vec").select(F.col("id").alias("query_id"), "query").distinct()
@@ -193,13 +212,19 @@ def _placed(shared, is_data: bool, name: str):
 
 
 def _reach(centres: np.ndarray, least: list, radii: list, k: int) -> dict[int, float]:
-    """For each cell of queries: how far from its pivot an answer may lie. The k-th smallest of
-    radius + pivot distance + distance to the own pivot bounds every query's k-th distance."""
+    """For each cell of queries: how far from its pivot an answer may lie. The least radius +
+    pivot distance + distance to the own pivot that ``k`` rows besides those of any one id have
+    bounds every query's k-th distance."""
     between = _distances(centres, centres)
     reach = {}
     for row in radii:
-        bounds = sorted(row["radius"] + between[row["cell"], x["cell"]] + x["away"] for x in least)
-        bound = bounds[k - 1] if len(bounds) >= k else float("inf")
+        bounds = [row["radius"] + between[row["cell"], x["cell"]] + x["away"] for x in least]
+        bound, held = float("inf"), Counter()
+        for n, i in enumerate(np.argsort(bounds), 1):
+            held[least[i]["id"]] += 1
+            if n - max(held.values()) >= k:
+                bound = bounds[i]
+                break
         # Rounding of distances must not lose a row.
         scale = float(np.abs(centres).max()) * centres.shape[1]
         reach[row["cell"]] = (row["radius"] + bound) * (1 + 1e-6) + 1e-3 * (1 + scale * 1e-3)
@@ -254,7 +279,7 @@ def _solve(k: int, width: int):
         ids = right.column("ids").combine_chunks()
         first = ids.flatten().to_numpy()[ids.offsets.to_numpy()[:-1] - ids.offsets[0].as_py()]
         order = np.argsort(first, kind="stable")  # so that the first of ties has the least id
-        ids = ids.take(pa.array(order))
+        ids, first = ids.take(pa.array(order)), first[order]
         ends = np.concatenate([[0], np.cumsum(ids.value_lengths().to_numpy())])
         flat = ids.flatten().to_numpy()
         x = _column(right.column("vec").combine_chunks(), width)[order]
@@ -264,17 +289,41 @@ def _solve(k: int, width: int):
         for begin in range(0, len(q), 128):
             scores = _products(q[begin : begin + 128], x)
             for name, row in zip(names[begin : begin + 128], scores):
-                best = _best(row, k)
-                for i in best:
-                    held = flat[ends[i] : ends[i + 1]]
-                    out[0].append(np.full(len(held), name))
-                    out[1].append(held)
-                    out[2].append(np.full(len(held), row[i]))
+                take = k + 1
+                while True:
+                    best = _best(row, take)
+                    many = ends[best + 1] - ends[best]
+                    at = np.repeat(ends[best + 1] - np.cumsum(many), many) + np.arange(many.sum())
+                    held, score = flat[at], np.repeat(row[best], many)
+                    if take >= len(row) or _suffices(row[best], first[best], held, score, k):
+                        break
+                    take *= 2
+                if take > k + 1:
+                    held, score = _first_of_each(held, score, k)
+                out[0].append(np.full(len(held), name))
+                out[1].append(held)
+                out[2].append(score)
         return pa.table([pa.array(np.concatenate(c).astype(np.int64)) for c in out], schema=shape)
 
     return run
 
 
+def _suffices(best, first, held, score, k: int) -> bool:
+    """Whether ``k`` rows besides those of any one id come before all vectors left out. Those have
+    lower scores than ``best``, or the least of these and no smaller id than the ties among it."""
+    edge = best.min()
+    sure = held[(score > edge) | (held <= first[best == edge].max())]
+    return len(sure) - np.unique(sure, return_counts=True)[1].max(initial=0) >= k
+
+
+def _first_of_each(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The best ``k`` rows of each id."""
+    order = np.lexsort((-scores, ids))
+    ids, scores = ids[order], scores[order]
+    place = np.arange(len(ids)) - np.searchsorted(ids, ids)
+    return ids[place < k], scores[place < k]
+
+
 def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products: as floats where no sum can leave their whole numbers."""
     a, b = q.astype(np.float64), x.astype(np.float64)

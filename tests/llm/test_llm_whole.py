@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from opsframe.llm.knn_join import top_k
 from opsframe.llm.sharding import assign_shards, fewest_bytes
 from opsframe.llm.substring_dedup import remove_repeated_passages
 from opsframe.llm.suffix_dedup import remove_repeated_bytes
@@ -86,3 +87,22 @@ def test_windows_longer_than_a_span_had_room_for(spark, window):
     for i, text in enumerate(texts):
         gone = _removed(text.split(), window, seen)
         assert found[i].split() == [w for w, g in zip(text.split(), gone) if not g]
+
+
+@pytest.mark.parametrize("pivots", [4, 64])
+def test_top_k_with_repeated_ids(spark, pivots):
+    rng = random.Random(pivots)
+    rows = [(i, [rng.randrange(-9, 9) for _ in range(4)]) for i in range(300)]
+    # Own rows rank first: many copies of one vector, many vectors of one id, few of a third.
+    rows += [(7, [40, 40, 40, 40])] * 30 + [(8, [40, 40, 40, 40]), (9, [40, 40, 40, 40])]
+    rows += [(50, [30 + i % 9, 30, 30 + i, 30]) for i in range(40)] + [(60, [20, 20, 20, 20])] * 3
+    rows += [(i, [1, 1, 1, 1]) for i in (70, 70, 71, 71, 72)] * 2
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    asked = [r for r in rows if r[0] in (0, 7, 8, 50, 60, 70, 299)]
+    asked = spark.createDataFrame(asked, df.schema).distinct()
+    expected = []
+    for q, vec in asked.collect():
+        scores = [(-sum(a * b for a, b in zip(vec, x)), i) for i, x in rows if i != q]
+        expected += [(q, n, i, -score) for n, (score, i) in enumerate(sorted(scores)[:5], 1)]
+    found = [tuple(r) for r in top_k(asked, df, pivots=pivots).collect()]
+    assert sorted(found) == sorted(expected)
