@@ -32,7 +32,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """
     found = staged(ngram_components(docs), "groups")
     named = found.where("n_shingles > 0 AND component_id IS NOT NULL AND doc_id IS NOT NULL")
-    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "part")).alias("first"))
+    first = named.groupBy("component").agg(F.min(F.struct("doc_id", "part")).alias("first"))
     first = first.select(F.col("first.doc_id").alias("id"), F.col("first.part").alias("hash"))
     others = found.where("n_shingles = 0 OR component_id IS NULL")
     stay = first.withColumn("one", F.lit(True)).unionByName(

@@ -38,10 +38,11 @@ def ngram_components(
     n: int = 5,
     percent: int = 80,
 ) -> DataFrame:
-    """(id, part, n_shingles, component_id) per row; linked are rows whose sets have a Jaccard
-    similarity of ``percent`` or more. ``part`` is a hash of the text.
+    """(id, part, n_shingles, component_id, component) per row; linked are rows whose sets have a
+    Jaccard similarity of ``percent`` or more. ``part`` is a hash of the text.
 
-    ``component_id`` is the smallest id reachable by links. A-Z count as a-z, words are split at
+    ``component_id`` is the smallest id reachable by links. ``component`` names the component: two
+    of them may have one smallest id where ids repeat. It is null for texts without n-grams. A-Z count as a-z, words are split at
     ASCII white space, and a text of fewer than ``n`` words is one n-gram. Empty and null texts
     have no n-gram and are linked with nothing. Rows are nodes of their own: rows that repeat an
     id link only by their texts. A null id is never a component's id (it is where no row of the
@@ -101,12 +102,13 @@ def ngram_components(
         .select("key", "rep", "component")
     )
     least = ids.groupBy("component").agg(F.min("rep").alias("component_id"))
-    ids = ids.join(least, "component").select("key", "component_id")
+    ids = ids.join(least, "component").select("key", "component_id", "component")
     return rows.join(ids, "key", "left").select(
         F.col("id").alias(id_col),
         "part",
         F.col("n").cast("long").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+        "component",
     )
 
 

@@ -133,7 +133,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_components(_documents(spark, sf_dir)).drop("part")
+    return ngram_components(_documents(spark, sf_dir)).drop("part", "component")
 
 
 def all_queries() -> dict[str, Query]:

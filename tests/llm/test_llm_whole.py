@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from opsframe.llm.knn_join import top_k
 from opsframe.llm.sharding import assign_shards, fewest_bytes
 from opsframe.llm.substring_dedup import remove_repeated_passages
@@ -106,3 +107,17 @@ def test_top_k_with_repeated_ids(spark, pivots):
         expected += [(q, n, i, -score) for n, (score, i) in enumerate(sorted(scores)[:5], 1)]
     found = [tuple(r) for r in top_k(asked, df, pivots=pivots).collect()]
     assert sorted(found) == sorted(expected)
+
+
+def test_pipeline_keeps_unrelated_texts_of_one_id(spark):
+    def text(seed, last="end"):
+        rng = random.Random(seed)
+        return " ".join([f"w{rng.randrange(10_000)}" for _ in range(60)] + [last])
+
+    # Two texts of id 1, each with a near copy of its own; a lone text of id 1; id 5 repeats a row.
+    rows = [(1, text("a")), (2, text("a", "x")), (1, text("b")), (3, text("b", "x")), (1, text("c"))]
+    rows += [(5, text("d"))] * 2 + [(None, text("e")), (6, text("e", "x"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()
+    expected = [(1, text("a")), (1, text("b")), (1, text("c")), (5, text("d")), (6, text("e", "x"))]
+    assert sorted(tuple(r) for r in kept) == sorted(expected)
