@@ -114,7 +114,10 @@ def _block_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     pair = np.zeros(len(data), np.int64)
     low = LOWER[data].astype(np.int64)
     pair[1:] = (low[:-1] * 31 + low[1:]) * 2654435761 >> 8 & (_PAIRS - 1)
-    held = np.bincount(owner * _PAIRS + pair, minlength=texts * _PAIRS)
+    # A text's first byte has no pair: the byte before it is another text's.
+    inside = np.ones(len(data), bool)
+    inside[offsets[:-1][size > 0]] = False
+    held = np.bincount((owner * _PAIRS + pair)[inside], minlength=texts * _PAIRS)
     out[:, _SHAPES:] = np.sqrt(held.reshape(texts, _PAIRS) / some[:, None])
 
     begins, ends, first = words(data, offsets)

@@ -2,11 +2,14 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from opsframe.llm.knn_join import top_k
+from opsframe.llm.quality import features
 from opsframe.llm.sharding import assign_shards, fewest_bytes
 from opsframe.llm.substring_dedup import remove_repeated_passages
 from opsframe.llm.suffix_dedup import remove_repeated_bytes
@@ -121,3 +124,10 @@ def test_pipeline_keeps_unrelated_texts_of_one_id(spark):
     kept = corpus_pipeline.keep_one_of_each_group(spark, df, "").collect()
     expected = [(1, text("a")), (1, text("b")), (1, text("c")), (5, text("d")), (6, text("e", "x"))]
     assert sorted(tuple(r) for r in kept) == sorted(expected)
+
+
+def test_features_do_not_depend_on_the_text_before():
+    texts = ["Short one.", "", "zz", "Short one.", "a", None, "Short one."]
+    together = np.concatenate(list(features(pa.array(texts))))
+    alone = np.concatenate([np.concatenate(list(features(pa.array([t], pa.string())))) for t in texts])
+    assert np.array_equal(together, alone)
