@@ -151,10 +151,52 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words,
 FROM d LEFT JOIN k USING (doc_id)
 """
 
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, d.vec_id AS other, a.label = d.label AS same,
+    CAST(list_dot_product(CAST(a.v AS DOUBLE[]), CAST(d.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM v a JOIN v d ON a.vec_id <> d.vec_id WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id,
+  CAST(row_number() OVER w AS INTEGER) AS rank, other AS negative_id, positive_score,
+  score AS negative_score
+FROM p JOIN s USING (anchor_id)
+WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)
+QUALIFY row_number() OVER w <= 3
+"""
+
+# Base 32 turns 20 bits, five hexadecimal digits, into four letters.
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (
+  SELECT page_id, strlen(html) AS size, sha1(html) AS hex,
+    max(page_id) OVER (PARTITION BY html) AS last FROM p),
+b AS (
+  SELECT *, array_to_string(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(
+      (CAST('0x' || substr(hex, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS INTEGER)
+        >> CAST(15 - 5 * (i % 4) AS INTEGER)) % 32 + 1 AS BIGINT), 1)), '') AS digest FROM g)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes, digest AS payload_digest,
+  CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> last THEN last END AS refers_to
+FROM b
+"""
+
 SQL = {
     "op1_exact_top_k": TOP_K,
     "op4_benchmark_decontamination": DECONTAMINATION,
     "op6_substring_dedup": PASSAGES,
     "op9_source_mixing": MIXING,
     "op10_ngram_jaccard_join": NGRAM_JOIN,
+    "op11_hard_negatives": HARD_NEGATIVES,
+    "op12_warc": WARC,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from opsframe.llm import oracle
 from opsframe.llm.decontaminate import find_contamination, is_contaminated
+from opsframe.llm.hard_negatives import hard_negatives
 from opsframe.llm.knn_join import quantized, top_k
 from opsframe.llm.language_id import identify_languages
 from opsframe.llm.mixing import mix_sources
@@ -18,6 +19,9 @@ from opsframe.llm.secret_scan import BASE_KINDS, scan_secrets
 from opsframe.llm.sharding import assign_shards
 from opsframe.llm.substring_dedup import remove_repeated_passages
 from opsframe.llm.suffix_dedup import remove_repeated_bytes
+from opsframe.llm.warc import page_of, read_warc, sound_records, write_warc
+from opsframe.llm.whitening import whitened_rows
+from opsframe.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -136,6 +140,34 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_components(_documents(spark, sf_dir)).drop("part", "component")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        quantized(F.col("embedding")).alias("vector"),
+    )
+    return hard_negatives(vectors, vec_id % 50 == 0)
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "warc")
+    write_warc(_table(spark, sf_dir, "pages"), path)
+    found = sound_records(read_warc(spark, path))
+    headers = F.col("headers")
+    return found.select(
+        page_of(F.col("record_id")).cast("long").alias("page_id"),
+        "payload_bytes",
+        F.split_part(headers["warc-payload-digest"], F.lit(":"), F.lit(2)).alias("payload_digest"),
+        "record_type",
+        page_of(headers["warc-refers-to"]).cast("long").alias("refers_to"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_rows(_table(spark, sf_dir, "embeddings"))
+
+
 def all_queries() -> dict[str, Query]:
     found = [
         op1_exact_top_k,
@@ -148,6 +180,9 @@ def all_queries() -> dict[str, Query]:
         op8_sharding,
         op9_source_mixing,
         op10_ngram_jaccard_join,
+        op11_hard_negatives,
+        op12_warc,
+        op13_whitening,
     ]
     return {query.__name__: query for query in found} | {"pipeline": corpus_pipeline.run}
 
