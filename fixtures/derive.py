@@ -154,6 +154,37 @@ def policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def policy_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A policy per part as JSON text, with fields at three depths that no operator knows."""
+    return table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS id",
+        SERVICE,
+        """CASE WHEN p_partkey % 5 = 0 THEN '{"path": {"values": ["/schemas/' || p_brand || '"], "n": 1}}'
+           WHEN p_partkey % 7 = 0 THEN '{"url": {"values": ["/datafiles/' || p_type || '"], "n": null}}'
+           ELSE '{"url": {"n": {"er": [' || p_partkey || ']}, "values": ["/schemas/' || p_type
+             || '.db", "/datafiles/' || p_type || '", "/x/' || p_brand || '.db"]}}'
+           END AS resources""",
+        "p_type", "p_brand", "p_size",
+    ).selectExpr(
+        """concat('{"service": "', service, '", "name": "pol_', id, '", "id": ', id,
+             ', "labels": {"team": {"of": "', p_brand, '"}, "rank": [', p_size, ', null]}',
+             ', "resources": ', resources, ', "policyItems": [{"users": ["admin"], "groups": ["',
+             p_type, '", "all"], "roles": ["', p_brand, '"], "extra": {"b": [{"c": 1.5}]}',
+             ', "accesses": [{"type": "read", "why": {"by": "', p_type, '"}}]}]}') AS value"""
+    )
+
+
+def role_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A role per order as a whole document, with users that have fields of their own."""
+    text = F.expr(
+        """concat('{"name": "role_', o_orderkey, '", "users": [{"since": {"y": [', o_custkey,
+             ']}, "name": "u", "isAdmin": true}], "options": {"a": {"b": {"c": null}}}, "id": ',
+             o_orderkey, '}')"""
+    )
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(F.parse_json(text).alias("doc"), F.col("o_orderkey").alias("ord"))
+
+
 def existing_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the server holds: some names of ours, some without an id, each in two versions."""
     part = table(spark, sf_dir, "part")

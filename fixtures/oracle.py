@@ -421,6 +421,24 @@ WITH {POL} SELECT id, CASE WHEN id % 3 > 0 THEN 'denyPolicyItems|' ELSE '' END
   CAST(id % 2 = 0 AS VARCHAR) AS enabled, 'say "' || name || '", {{ok}}' AS description,
   CASE WHEN id % 3 > 0 THEN '[{{"delegateAdmin":true,"users":["' || name || '"]}}]' END AS denied,
   'true' AS delegate FROM pol""",
+        "whole_policy_documents": f"""
+WITH {POL} SELECT name, md5('{{"id":' || id || ',"labels":{{"rank":[' || size
+  || ',null],"team":{{"of":"' || p_brand || '"}}}},"name":"' || name
+  || '","policyItems":[{{"accesses":[{{"type":"read","why":{{"by":"' || p_type
+  || '"}}}}],"extra":{{"b":[{{"c":1.5}}]}},"groups":["'
+  || array_to_string(list_sort(list_distinct([p_type, 'all', p_brand])), '","')
+  || '"],"roles":[],"users":["admin"]}}],"resources":' || CASE u
+    WHEN 'none' THEN '{{"path":{{"n":1,"values":["/schemas/' || p_brand || '"]}}}}'
+    ELSE '{{"url":{{"n":' || CASE u WHEN 'new' THEN 'null' ELSE '{{"er":[' || id || ']}}' END
+      || ',"values":["' || replace(CASE WHEN service = 'cm_hive' THEN matched ELSE original END,
+        '|', '","') || '"]}}}}' END
+  || ',"service":"' || service || '"}}') AS hash
+FROM urls JOIN (SELECT p_partkey AS id, p_size AS size FROM part) USING (id)""",
+        "whole_role_pages": """
+SELECT 'role_' || CAST(o_orderkey AS VARCHAR) AS name, md5('{"name":"role_' || o_orderkey
+  || '","options":{"a":{"b":{"c":null}}},"users":[{"isAdmin":true,"name":"u","since":{"y":['
+  || o_custkey || ']}}]}') AS hash
+FROM orders""",
         "scan_policy_list": URLS_ALL,
         "scan_policy_map": f"WITH {POL} SELECT id, name, service FROM pol",
         "scan_document_pages": """

@@ -286,6 +286,30 @@ def _migrate_files(spark, sf):
     )
 
 
+def _whole_policies(spark, sf):
+    """Whole documents after two migrations, compared by the hash of their text."""
+    path, out = shared_dir(spark, "policies"), shared_dir(spark, "policies-migrated")
+    d.policy_texts(spark, sf).write.text(path)
+    policies = sources.scan_policy_list(spark, path, lines=True)
+    migrated = plans.migrate_policies(policies, ["urls_matched", "item_roles"])
+    sinks.write_documents_json(migrated, out)
+    return _hashed(spark, out)
+
+
+def _whole_roles(spark, sf):
+    """Whole roles through pages, without their ids."""
+    path, out = shared_dir(spark, "role-pages"), shared_dir(spark, "roles")
+    sinks.write_documents_json(d.role_documents(spark, sf), path, envelope="vList")
+    roles = pol.drop_document_id(sources.scan_document_pages(spark, path))
+    sinks.write_documents_json(roles, out)
+    return _hashed(spark, out)
+
+
+def _hashed(spark: SparkSession, path: str) -> DataFrame:
+    name = F.get_json_object("value", "$.name").alias("name")
+    return spark.read.text(path).select(name, F.md5("value").alias("hash"))
+
+
 def _policy_files(spark, sf):
     path = shared_dir(spark, "policies")
     sinks.write_documents_json(d.policies(spark, sf), path)
@@ -688,6 +712,8 @@ def all_queries() -> dict[str, Query]:
         "page_completeness": _page_completeness,
         "migrate_policies": _migrate,
         "migrate_policies_documents": _migrate_files,
+        "whole_policy_documents": _whole_policies,
+        "whole_role_pages": _whole_roles,
         "scan_policy_list": _policy_files,
         "scan_documents": _policy_pages,
         "scan_policy_map": _policy_map,

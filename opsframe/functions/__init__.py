@@ -39,6 +39,7 @@ from opsframe.functions.values import (
     number,
     pct,
 )
+from opsframe.functions.variants import overlaid, without_field
 
 __all__ = [
     "array_union_sorted",
@@ -59,6 +60,7 @@ __all__ = [
     "ms_to_s",
     "normalize_service_name",
     "number",
+    "overlaid",
     "parse_log_timestamp",
     "parse_object_key",
     "parse_permissions",
@@ -69,5 +71,6 @@ __all__ = [
     "split_part",
     "strip_ws",
     "truncate_query",
+    "without_field",
     "zone_free",
 ]

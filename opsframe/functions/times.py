@@ -7,6 +7,11 @@ from datetime import datetime, timezone
 
 from pyspark.sql import Column, functions as F
 
+# A day, as the casts of Spark read it, and a time of day behind it, with or without all parts.
+_DAY = r"^\s*[+-]?\d{4,7}(-\d{1,2}){0,2}"
+_TIME = r"[T ]\d{1,2}:\d{1,2}"
+_CLOCK = r"(T|[T ]\d{1,2}(:\d{1,2}(:\d{1,2}(\.\d*)?)?)?)?"
+
 # Fixed value: how a log line with a time begins.
 LOG_TIME_PATTERN = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2},\d{3})"
 
@@ -48,14 +53,19 @@ def epoch_ms_cutoff(now: str | datetime, months: int = 1) -> Column:
 def zone_free(text: Column) -> Column:
     """A time as UTC wall time: text with a zone is an instant, text without one stays as it is.
 
-    Text that is no time is an error; null stays null.
+    A zone is whatever follows the time of day and Spark knows: ``Z``, ``+05``, ``+5:30``, ``UTC+3``,
+    ``Europe/Paris``, ``EST``. Text that is no date with or without a time, and a zone that is
+    unknown, are an error; null stays null.
     """
     epoch = F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'")
-    micros = F.unix_micros(text.try_cast("timestamp"))
+    # The cast reads a zone only behind seconds.
+    full = F.regexp_replace(text, f"({_DAY}{_TIME})(?=[^0-9:])", "$1:00")
+    micros = F.unix_micros(full.try_cast("timestamp"))
     instant = epoch + F.make_dt_interval(
         secs=(micros / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)")
     )
-    zoned = text.rlike(r"(Z|[+-]\d{2}:?\d{2})$")
-    parsed = F.when(zoned, instant).otherwise(text.try_cast("timestamp_ntz"))
+    parsed = F.when(text.rlike(f"{_DAY}{_CLOCK}\\s*$"), text.try_cast("timestamp_ntz")).when(
+        text.rlike(f"{_DAY}{_TIME}"), instant
+    )
     bad = F.raise_error(F.concat(F.lit("no time: "), text))
     return F.when(text.isNotNull(), F.coalesce(parsed, bad))

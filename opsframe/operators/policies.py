@@ -12,10 +12,11 @@ from opsframe.functions import (
     missing_items,
     same_set,
     sorted_distinct,
+    without_field,
 )
 from opsframe.functions.text import PERMISSIONS
 from opsframe.operators.ordering import salted_join, top_k
-from opsframe.schemas import ACCESS
+from opsframe.schemas import ACCESS, DOCUMENT
 
 # Services, the path rewrite, batch and page sizes, success states.
 URL_SERVICE = "cm_hive"
@@ -114,6 +115,8 @@ def policy_change_count(policies: DataFrame, service: str = URL_SERVICE) -> Data
 
 def drop_document_id(documents: DataFrame) -> DataFrame:
     """Documents without their server-given id, as an import wants them."""
+    if DOCUMENT in documents.columns:
+        documents = documents.withColumn(DOCUMENT, without_field(F.col(DOCUMENT), "id"))
     return documents.drop("id")
 
 

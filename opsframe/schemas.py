@@ -1,5 +1,8 @@
 """Schemas of the inputs and of the fixed-layout outputs."""
 
+#: The column in which a scan keeps a whole document beside its typed fields.
+DOCUMENT = "doc"
+
 ACCESS = "STRUCT<type: STRING, isAllowed: BOOLEAN>"
 POLICY_ITEM = (
     f"STRUCT<accesses: ARRAY<{ACCESS}>, users: ARRAY<STRING>, groups: ARRAY<STRING>, "

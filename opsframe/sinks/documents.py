@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
+from opsframe.functions import overlaid
 from opsframe.operators.ordering import chunk_rows
 from opsframe.operators.policies import ROLE_PAGE_SIZE
+from opsframe.schemas import DOCUMENT
 
 
 def _by_place(a: Column, b: Column) -> Column:
@@ -16,15 +19,6 @@ def _by_place(a: Column, b: Column) -> Column:
     return F.when(before, -1).when(after, 1).otherwise(0)
 
 
-def _joined_objects(one: Column, other: Column) -> Column:
-    """One JSON object of two that share no field."""
-    head = F.substr(one, F.lit(1), F.length(one) - 1)
-    tail = F.substr(other, F.lit(2))
-    both = F.concat(head, F.lit(","), tail)
-    nothing = other.isNull() | (other == "{}")
-    return F.when(nothing, one).when(one == "{}", other).otherwise(both).alias("value")
-
-
 def write_documents_json(
     df: DataFrame,
     path: str,
@@ -36,22 +30,26 @@ def write_documents_json(
     """One document per line, nulls kept; or pages ``{envelope: [..]}``, one per line.
 
     A page holds at most ``page_size`` documents, so that no task has to hold them all. The
-    ``order`` columns place the documents and are not written. A column ``rest`` holds further
-    fields of a line as a JSON object, as a scan found them; with it, nulls are not written, as
-    they stand for fields that the document never had.
+    ``order`` columns place the documents and are not written. Where a scan left the whole document
+    in ``doc``, that is written, with the other columns in the places of their names; fields that
+    are null, and that the document never had, are not added.
     """
-    documents = [c for c in df.columns if c not in order]
-    if envelope is None and "rest" in documents:
-        known = F.to_json(F.struct(*[c for c in documents if c != "rest"]))
-        df.select(_joined_objects(known, F.col("rest"))).write.mode(mode).text(path)
-        return
+    columns = [c for c in df.columns if c not in order]
+    fields = [f for f in df.schema.fields if f.name in columns and f.name != DOCUMENT]
+    whole = DOCUMENT in columns
+    doc = F.struct(*[f.name for f in fields]) if fields else F.col(DOCUMENT)
+    if whole and fields:
+        doc = overlaid(F.col(DOCUMENT), doc, StructType(fields))
     if envelope is None:
-        out = df.select(*documents)
-    else:
-        pages = chunk_rows(df, page_size, list(order)).groupBy("chunk_id")
-        place, doc = F.struct(*order).alias("place"), F.struct(*documents).alias("doc")
-        page = F.array_sort(F.collect_list(F.struct(place, doc)), _by_place)
-        out = pages.agg(F.transform(page, lambda p: p["doc"]).alias(envelope)).select(envelope)
+        if whole:
+            df.select(F.to_json(doc).alias("value")).write.mode(mode).text(path)
+        else:
+            df.select(*columns).write.mode(mode).json(path, ignoreNullFields=False)
+        return
+    pages = chunk_rows(df, page_size, list(order)).groupBy("chunk_id")
+    place = F.struct(*order).alias("place")
+    page = F.array_sort(F.collect_list(F.struct(place, doc.alias("doc"))), _by_place)
+    out = pages.agg(F.transform(page, lambda p: p["doc"]).alias(envelope)).select(envelope)
     out.write.mode(mode).json(path, ignoreNullFields=False)
 
 

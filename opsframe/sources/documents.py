@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from opsframe.schemas import POLICY_DDL, ROLE_DDL
+from opsframe.schemas import DOCUMENT, POLICY_DDL, ROLE_DDL
 
 #: Text that doesn't parse, or not as what it should be, is an error rather than no rows.
 STRICT = {"mode": "FAILFAST"}
@@ -28,46 +28,77 @@ def _has_key(text: Column, key: str) -> Column:
     return F.coalesce(F.array_contains(F.json_object_keys(text), key), F.lit(False))
 
 
-def _members(text: Column, key: str, ddl: str) -> Column:
-    return F.from_json(text, f"`{key}` ARRAY<STRUCT<{ddl}>>", STRICT)[key]
+def _members(text: Column, key: str, kind: str) -> Column:
+    return F.from_json(text, f"`{key}` ARRAY<{kind}>", STRICT)[key]
 
 
-def _list_of(text: Column, ddl: str) -> Column:
-    return F.from_json(text, f"ARRAY<STRUCT<{ddl}>>", STRICT)
+def _list_of(text: Column, kind: str) -> Column:
+    return F.from_json(text, f"ARRAY<{kind}>", STRICT)
 
 
-def _rows(texts: DataFrame, docs: Column) -> DataFrame:
-    return texts.select("doc_file", "doc_row", F.posexplode(docs).alias("doc_pos", "doc")).select(
-        "doc.*", F.struct("doc_file", "doc_row", "doc_pos").alias("ord")
+def _struct(ddl: str) -> str:
+    if DOCUMENT in StructType.fromDDL(ddl).names:
+        raise ValueError(f"the column {DOCUMENT!r} holds the whole document")
+    return f"STRUCT<{ddl}>"
+
+
+def _pairs(typed: Column, whole: Column) -> Column:
+    """Typed documents beside the whole ones."""
+    return F.arrays_zip(typed.alias("typed"), whole.alias("whole"))
+
+
+def _rows(texts: DataFrame, pairs: Column) -> DataFrame:
+    return texts.select("doc_file", "doc_row", F.posexplode(pairs).alias("doc_pos", "pair")).select(
+        "pair.typed.*",
+        F.col("pair.whole").alias(DOCUMENT),
+        F.struct("doc_file", "doc_row", "doc_pos").alias("ord"),
     )
 
 
+def _missing(problem: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{problem} in "), "doc_file"))
+
+
 def scan_documents(
     spark: SparkSession, path: str, ddl: str = ROLE_DDL, lines: bool = False
 ) -> DataFrame:
     """Documents below ``vList``, else below ``roles``, else of a top-level list.
 
     The first of the three that is present counts, even when it is empty; a text with none of
-    them is an error. ``ord`` keeps the input order. ``lines`` reads one envelope per line,
-    which lets Spark split the file.
+    them is an error. ``doc`` is the whole document, with all fields that ``ddl`` does not name;
+    ``ord`` keeps the input order. ``lines`` reads one envelope per line, which lets Spark split
+    the file.
     """
     texts = _texts(spark, path, lines)
     text = F.col("text")
-    docs = (
-        F.when(_is_list(text), _list_of(text, ddl))
-        .when(_has_key(text, "vList"), _members(text, "vList", ddl))
-        .when(_has_key(text, "roles"), _members(text, "roles", ddl))
-        .otherwise(F.raise_error(F.concat(F.lit("no document list in "), "doc_file")))
-    )
-    return _rows(texts, docs)
+
+    def found(kind: str) -> Column:
+        return (
+            F.when(_is_list(text), _list_of(text, kind))
+            .when(_has_key(text, "vList"), _members(text, "vList", kind))
+            .when(_has_key(text, "roles"), _members(text, "roles", kind))
+            .otherwise(_missing("no document list"))
+        )
+
+    return _rows(texts, _pairs(found(_struct(ddl)), found("VARIANT")))
 
 
 def scan_document_pages(spark: SparkSession, path: str, ddl: str = ROLE_DDL) -> DataFrame:
-    """Documents of many pages, one ``{vList: [..]}`` or list per line; empty pages add nothing."""
+    """Documents of many pages, one ``{vList: [..]}`` or list per line; empty pages add nothing.
+
+    A page with other fields but without that list is an error. ``doc`` and ``ord`` are as in ``scan_documents``.
+    """
     texts = _texts(spark, path, lines=True)
     text = F.col("text")
-    docs = F.when(_is_list(text), _list_of(text, ddl)).otherwise(_members(text, "vList", ddl))
-    return _rows(texts, docs)
+
+    def found(kind: str) -> Column:
+        return (
+            F.when(_is_list(text), _list_of(text, kind))
+            .when(_has_key(text, "vList"), _members(text, "vList", kind))
+            .when(F.size(F.json_object_keys(text)) > 0, _missing("no document list"))
+        )
+
+    return _rows(texts, _pairs(found(_struct(ddl)), found("VARIANT")))
 
 
 def scan_policy_list(
@@ -75,26 +106,20 @@ def scan_policy_list(
 ) -> DataFrame:
     """A JSON list of policies as rows; anything but a list is an error.
 
-    ``rest`` is a JSON object of all fields that ``ddl`` does not name, for the sink to write
-    back. ``lines`` reads one policy per line, the splittable form that the sink writes.
+    ``doc`` and ``ord`` are as in ``scan_documents``. ``lines`` reads one policy per line, the
+    splittable form that the sink writes.
     """
     texts = _texts(spark, path, lines)
     text = F.col("text")
-    if lines:
-        typed = F.array(F.from_json(text, ddl, STRICT))
-        other = F.array(F.from_json(text, "MAP<STRING, VARIANT>", STRICT))
-    else:
-        not_list = F.raise_error(F.concat(F.lit("expected a list at the top of "), "doc_file"))
-        typed = F.when(_is_list(text), _list_of(text, ddl)).otherwise(not_list)
-        other = F.from_json(text, "ARRAY<MAP<STRING, VARIANT>>", STRICT)
-    named = [field.name for field in StructType.fromDDL(ddl)]
-    pairs = F.arrays_zip(typed.alias("doc"), other.alias("other"))
-    rest = F.map_filter(F.col("pair.other"), lambda key, value: ~key.isin(named))
-    return texts.select("doc_file", "doc_row", F.posexplode(pairs).alias("doc_pos", "pair")).select(
-        "pair.doc.*",
-        F.to_json(rest).alias("rest"),
-        F.struct("doc_file", "doc_row", "doc_pos").alias("ord"),
-    )
+
+    def found(kind: str) -> Column:
+        if lines:
+            # Wrapped, as a text alone can be read as a VARIANT only without the strict mode.
+            return _list_of(F.concat(F.lit("["), text, F.lit("]")), kind)
+        not_list = _missing("expected a list at the top")
+        return F.when(_is_list(text), _list_of(text, kind)).otherwise(not_list)
+
+    return _rows(texts, _pairs(found(_struct(ddl)), found("VARIANT")))
 
 
 def scan_policy_map(
@@ -102,17 +127,23 @@ def scan_policy_map(
 ) -> DataFrame:
     """The values of a JSON object; a repeated key keeps its first place and its last value.
 
-    ``lines`` reads one object per line.
+    ``doc`` and ``ord`` are as in ``scan_documents``. ``lines`` reads one object per line.
     """
     texts = _texts(spark, path, lines)
-    entries = F.from_json("text", f"MAP<STRING, STRUCT<{ddl}>>", STRICT)
+
+    def found(kind: str) -> Column:
+        return F.map_entries(F.from_json("text", f"MAP<STRING, {kind}>", STRICT))
+
+    entry = F.posexplode(_pairs(found(_struct(ddl)), found("VARIANT"))).alias("doc_pos", "pair")
     return (
-        texts.select(
-            "doc_file", "doc_row", F.posexplode(entries).alias("doc_pos", "doc_key", "doc")
+        texts.select("doc_file", "doc_row", entry)
+        .groupBy("doc_file", "doc_row", F.col("pair.typed.key").alias("doc_key"))
+        .agg(F.max_by("pair", "doc_pos").alias("pair"), F.min("doc_pos").alias("doc_pos"))
+        .select(
+            "pair.typed.value.*",
+            F.col("pair.whole.value").alias(DOCUMENT),
+            F.struct("doc_file", "doc_row", "doc_pos").alias("ord"),
         )
-        .groupBy("doc_file", "doc_row", "doc_key")
-        .agg(F.max_by("doc", "doc_pos").alias("doc"), F.min("doc_pos").alias("doc_pos"))
-        .select("doc.*", F.struct("doc_file", "doc_row", "doc_pos").alias("ord"))
     )
 
 

@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -41,6 +42,77 @@ def test_a_hot_group_is_spread(spark, rows):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.fixture
+def forty_tasks(spark):
+    settings = {
+        "spark.sql.shuffle.partitions": "40",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+@pytest.mark.parametrize("bucket_rows", [40, 700, 1 << 16])
+@pytest.mark.parametrize("by", [[], ["g"], ["g", "h"]])
+@pytest.mark.parametrize("order", [["k"], ["t", "k"], ["t"]])
+def test_positions_by_any_buckets(spark, bucket_rows, by, order):
+    rng = random.Random(bucket_rows)
+    data = [
+        (rng.choice(["hot", "hot", "a", "b", None]), i // 7, rng.choice([1.5, 1.5, 1.5, 2.0, None]), i)
+        for i in rng.sample(range(2000), 2000)
+    ]
+    frame = spark.createDataFrame(data, "g STRING, h INT, t DOUBLE, k BIGINT").repartition(5)
+    placed = ordering.with_position(frame, order, by, bucket_rows).collect()
+    assert len(placed) == len(data) and len({r["k"] for r in placed}) == len(data)
+    groups = {}
+    for r in sorted(placed, key=lambda r: r["position"]):
+        key = [(r[c] is not None, r[c]) for c in order]
+        groups.setdefault(tuple(r[c] for c in by), []).append((r["position"], key))
+    for rows_of_group in groups.values():
+        assert [p for p, _ in rows_of_group] == list(range(len(rows_of_group)))
+        keys = [key for _, key in rows_of_group]
+        assert keys == sorted(keys)
+
+
+def test_positions_take_one_shuffle_and_write_nothing(spark, rows, forty_tasks):
+    _, frame = rows
+    root = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(root.rglob("*"))
+    placed = ordering.with_position(frame.repartition(3), ["k"], ["grp"], bucket_rows=50)
+    placed.collect()
+    assert set(root.rglob("*")) == before
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.find("== Initial Plan ==")]
+    # The one by the test itself, and one by buckets.
+    assert plan.count("Exchange ") == 2 and "Join" not in plan
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_a_constant_order_spreads(spark, by, forty_tasks):
+    frame = spark.range(0, 20_000, 1, 8).selectExpr("1 AS g", "1 AS t", "id AS k")
+    placed = ordering.with_position(frame, ["t"], by, bucket_rows=200)
+    tasks = placed.withColumn("task", F.spark_partition_id()).groupBy("task")
+    per_task = tasks.agg(F.count("position").alias("n")).agg(F.max("n")).first()[0]
+    assert per_task < 20_000 / 8
+    again = ordering.with_position(frame.repartition(3, "k"), ["t"], by, bucket_rows=300)
+    assert {r["k"]: r["position"] for r in placed.collect()} == {
+        r["k"]: r["position"] for r in again.collect()
+    }
+
+
+def test_positions_of_rows_with_maps_and_odd_names(spark):
+    frame = spark.sql(
+        "SELECT id % 3 AS `a.b`, map('x', struct(id)) AS m, parse_json(cast(id AS string)) AS v, "
+        "0 AS `_bucket2` FROM range(300)"
+    )
+    placed = ordering.with_position(frame, ["a.b"], bucket_rows=20)
+    assert placed.columns == [*frame.columns, "position"]
+    assert sorted(r["position"] for r in placed.collect()) == list(range(300))
+
+
 def test_index_without_groups(rows):
     _, frame = rows
     indexed = ordering.with_index(frame, ["k"]).collect()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from opsframe import plans, sinks, sources
 from opsframe.operators import policies as pol
-from opsframe.schemas import POLICY_DDL
+from opsframe.schemas import POLICY_DDL, ROLE_DDL
 
 LETTERS = {"r": "read", "w": "write", "x": "execute"}
 
@@ -359,3 +359,87 @@ def test_fields_that_no_operator_knows_survive(spark, tmp_path):
             for line in part.read_text().splitlines()
         ]
         assert sorted(lines, key=str) == sorted(docs, key=str)
+
+
+def lines_of(folder):
+    return [
+        json.loads(line)
+        for part in sorted(folder.glob("part-*"))
+        for line in part.read_text().splitlines()
+    ]
+
+
+WHOLE = {
+    "id": 7,
+    "name": "x",
+    "service": "cm_hive",
+    "labels": {"a": [{"b": None}, 2.5]},
+    "resources": {
+        "url": {"values": ["/schemas/t.db"], "isExcludes": False, "zzz": {"deep": [1]}},
+        "path": {"values": [], "more": None},
+    },
+    "policyItems": [
+        {
+            "accesses": [{"type": "read", "isAllowed": True, "why": {"by": ["me"]}}],
+            "groups": ["g"],
+            "roles": ["r"],
+            "conditions": [{"type": "t", "values": ["v"], "extra": 1}],
+            "validity": {"from": 1},
+        },
+        {"users": ["u"], "groups": ["h"], "note": None},
+    ],
+}
+
+
+def test_nested_fields_survive_edits_from_file_to_file(spark, tmp_path):
+    path = put(tmp_path, "whole.json", json.dumps([WHOLE, {"name": None, "resources": None}]))
+    policies = sources.scan_policy_list(spark, path)
+    migrated = plans.migrate_policies(policies, ["urls_matched", "item_roles"])
+    grants = spark.createDataFrame(
+        [(1, "x", "g", "rw"), (2, "x", "new", "x")],
+        "row_no INT, policy_name STRING, group_name STRING, permissions STRING",
+    )
+    merged = pol.merge_grants(migrated, grants, service="cm_hive")
+    sinks.write_documents_json(pol.drop_document_id(merged), str(tmp_path / "out"))
+    wanted = json.loads(json.dumps(WHOLE))
+    del wanted["id"]
+    wanted["resources"]["url"]["values"] = ["/datafiles/t"]
+    first, second = wanted["policyItems"]
+    first["groups"], first["roles"], second["roles"] = ["g", "r"], [], []
+    first["accesses"].append({"type": "write", "isAllowed": True})
+    added = {"accesses": [{"type": "execute", "isAllowed": True}], "groups": ["new"], "users": []}
+    wanted["policyItems"].append({**added, "delegateAdmin": False})
+    found = lines_of(tmp_path / "out")
+    assert sorted(found, key=len) == [{"name": None, "resources": None}, wanted]
+
+
+@pytest.mark.parametrize("kind", ["vList", "roles", "list", "map", "page"])
+def test_roles_and_maps_keep_every_field(spark, tmp_path, kind):
+    docs = [
+        {"id": 1, "name": "a", "users": [{"name": "u", "isAdmin": True, "since": {"y": [1]}}], "x": {"y": {"z": 1}}},
+        {"id": 2, "name": "b", "groups": [{"name": "g", "k": None}], "createdBy": None},
+    ]
+    special = {"list": docs, "map": {"a": docs[0], "b": docs[1]}, "page": {"vList": docs}}
+    text = special.get(kind, {kind: docs})
+    path = put(tmp_path, "in.json", json.dumps(text))
+    scan = {"map": sources.scan_policy_map, "page": sources.scan_document_pages}.get(kind, sources.scan_documents)
+    rows = scan(spark, path, ddl=ROLE_DDL)
+    sinks.write_documents_json(rows, str(tmp_path / "lines"))
+    assert sorted(lines_of(tmp_path / "lines"), key=lambda d: d["id"]) == docs
+    sinks.write_documents_json(rows, str(tmp_path / "pages"), envelope="vList", page_size=1)
+    again = sources.scan_document_pages(spark, str(tmp_path / "pages"))
+    sinks.write_documents_json(again, str(tmp_path / "again"))
+    assert sorted(lines_of(tmp_path / "again"), key=lambda d: d["id"]) == docs
+
+
+@pytest.mark.parametrize("page", [{"roles": []}, {"id": 1}])
+def test_a_page_without_its_list_is_an_error(spark, tmp_path, page):
+    path = put(tmp_path, "page.json", json.dumps({"vList": []}) + "\n" + json.dumps(page))
+    with pytest.raises(Exception, match="no document list"):
+        sources.scan_document_pages(spark, path).collect()
+    assert sources.scan_document_pages(spark, put(tmp_path, "e.json", '{"vList": []}')).count() == 0
+
+
+def test_the_column_of_the_whole_document_is_reserved(spark, tmp_path):
+    with pytest.raises(ValueError, match="doc"):
+        sources.scan_documents(spark, str(tmp_path), ddl="doc STRING")

@@ -167,3 +167,20 @@ def test_salted_join_equals_the_plain_one(skewed, how):
     assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
     if how == "left_anti":
         assert largest_task(salted.where("k IS NULL")) < ROWS // 3 // 5
+
+
+def test_hot_keys_are_found_in_one_pass_or_handed_in(skewed):
+    big = hot_rows(skewed, 3, F.col("id") + 100).selectExpr("cast(key AS int) AS k", "id")
+    small = skewed.range(0, 1000).selectExpr("id AS k", "id * 2 AS v")
+    hot = ordering.hot_keys(big, ["k"], 160)
+    assert len(hot) == 1 and 52 <= min(hot.values()) <= 56
+    # Types that differ are joined, and hashed, as the wider one.
+    salted = ordering.salted_join(big, small, ["k"], "id", "left")
+    plain = big.join(small, "k", "left")
+    assert salted.exceptAll(plain).count() == 0 and plain.exceptAll(salted).count() == 0
+    assert largest_task(salted.where("k = 3")) < ROWS // 3 // 5
+    plan = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Range (") == 2 and plan.count("Join") == 1
+    kinds = [("k", small.schema["k"].dataType)]
+    given = ordering.salted_join(big, small, ["k"], "id", hot=ordering.hot_keys(big, ["k"], 160, kinds))
+    assert largest_task(given.where("k = 3")) < ROWS // 3 // 5
