@@ -31,7 +31,7 @@ TILE_ASKS = 1 << 15
 
 _LONG = np.iinfo(np.int64)
 _LEAF_DDL = (
-    "tile int, branch int, place int, label long, ids array<long>, tags array<long>, "
+    "tile int, place int, label long, ids array<long>, tags array<long>, "
     "vecs array<long>, floors array<long>"
 )
 _BOX_DDL = "branch int, least long, most long, lo array<long>, hi array<long>"
@@ -154,12 +154,14 @@ class _Tree:
 
     def __init__(self, rows: DataFrame, n: int, width: int, k: int, tile_rows: int) -> None:
         self.spark, self.width = rows.sparkSession, width
-        self.tiles = -(-n // tile_rows)
+        ordered = _tiled(rows, -(-n // tile_rows), width)
+        self.leaves = staged(ordered.mapInArrow(_packed(width, k), _LEAF_DDL), "rtree-leaves")
+        # As many as there came to be, whatever number was asked for.
+        self.tiles = self.leaves.agg(F.max("tile")).first()[0] + 1
         self.branches = min(self.tiles, max(16, BRANCH_BYTES // (16 * width)))
-        ordered = _tiled(rows, self.tiles, width)
-        packed = ordered.mapInArrow(_packed(self.tiles, self.branches, width, k), _LEAF_DDL)
-        self.leaves = staged(packed, "rtree-leaves")
-        boxes = self.leaves.select("branch", "label", "vecs").mapInArrow(_boxed(width), _BOX_DDL)
+        branch = F.expr(f"cast(cast(tile as bigint) * {self.branches} div {self.tiles} as int)")
+        boxes = self.leaves.select(branch.alias("branch"), "label", "vecs")
+        boxes = boxes.mapInArrow(_boxed(width), _BOX_DDL)
         merged = boxes.groupBy("branch").applyInArrow(_merged, _BOX_DDL).orderBy("branch").collect()
         self.boxes = self.spark.sparkContext.broadcast(
             (
@@ -286,7 +288,7 @@ def _lists(rows: list, kind: pa.DataType) -> pa.Array:
     return pa.array(rows, pa.list_(kind))
 
 
-def _packed(tiles: int, branches: int, width: int, k: int):
+def _packed(width: int, k: int):
     """A tile's rows as leaves of one label, one row each; anchors with the k-th score of their
     label in this tile, by which other tiles are pruned."""
 
@@ -323,12 +325,11 @@ def _packed(tiles: int, branches: int, width: int, k: int):
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.full(n, tile, np.int32)),
-                pa.array(np.full(n, tile * branches // tiles, np.int32)),
                 pa.array(np.arange(n, dtype=np.int32)),
                 pa.array(out["label"], pa.int64()),
                 *(_lists(out[c], pa.int64()) for c in ("ids", "tags", "vecs", "floors")),
             ],
-            names=["tile", "branch", "place", "label", "ids", "tags", "vecs", "floors"],
+            names=["tile", "place", "label", "ids", "tags", "vecs", "floors"],
         )
 
     return run
@@ -555,6 +556,8 @@ def _found(width: int, same: bool, k: int):
                 if not kinds[i]:
                     leaves.append((labels[i], ids, vecs.reshape(-1, width)))
                     continue
+                if not leaves:  # A tile of a branch may have got no rows.
+                    continue
                 tile = tile or _Tile(leaves)
                 windows = list(zip(*(batch.column(c)[i].as_py() for c in ("los", "his", "floors"))))
                 for w, found in enumerate(tile.best(vecs, ids[0], labels[i], same, windows, k)):
