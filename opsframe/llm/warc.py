@@ -20,8 +20,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from opsframe.operators.ordering import salted_join
-from opsframe.session import staged
+from opsframe.operators.ordering import PIECES_PER_TASK, salted_join
 
 # Fixed values of the formats.
 VERSION = b"WARC/1.1"
@@ -30,8 +29,8 @@ _MEMBER = b"\x1f\x8b\x08"
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _END = b"\r\n\r\n"
 
-#: Payload bytes that an archive holds on average, bytes of rows that a task sends at once, and
-#: the bytes that a record's headers may have.
+#: Bytes that an archive may hold if its records are of average size, bytes of rows that a task
+#: sends at once, and the bytes that a record's headers may have.
 ARCHIVE_BYTES = 1 << 26
 _SEND_BYTES = 1 << 23
 _HEADER_BYTES = 1 << 16
@@ -55,54 +54,65 @@ def write_warc(
 ) -> None:
     """One record per row below the new folder ``path``, the text in UTF-8 as its payload.
 
-    Of rows with equal payloads of at least ``least_bytes`` bytes the one with the largest id is a
-    ``response``, the others are ``revisit`` records that refer to it; smaller payloads are all
-    responses. Null ids come before all others; of equal ids any one is the response. A null text
-    is an empty payload. A record's id is ``<urn:x-page:ID:NUMBER>``, where the number tells rows
-    with equal ids apart and a null id is ``-``. A null url gives no ``WARC-Target-URI``; line
-    breaks in one are percent-encoded. No rows give a folder without records. Other columns are
-    ignored. An archive holds ``ARCHIVE_BYTES`` of payload on average, as rows are dealt by hash.
+    Of rows with equal payloads of at least ``least_bytes`` bytes the one with the largest id is
+    a ``response``, the others are ``revisit`` records that refer to it; smaller payloads are
+    all responses. Null ids come before all others; of equal ids any one is the response. A null
+    text is an empty payload. A record's id is ``<urn:x-page:ID:NAME>``, where the name is the
+    payload's hash or a number, and tells rows with equal ids apart; a null id is ``-``. A null
+    url gives no ``WARC-Target-URI``; line breaks in one are percent-encoded. No rows give a
+    folder without records. Other columns are ignored. An archive holds ``ARCHIVE_BYTES`` at
+    most if its records are of average size.
     """
-    spark = pages.sparkSession
-    payload = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     rows = pages.select(
         F.coalesce(F.col(id_col).cast("string"), F.lit("-")).alias("page"),
         F.col(id_col).alias("rank"),
         F.col(url_col).cast("string").alias("url"),
-        payload.alias("payload"),
+        F.monotonically_increasing_id().alias("number"),
+        F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("payload"),
     )
-    # Written once, as the numbers of rows must not change between the uses below.
-    rows = rows.withColumn("hash", F.sha2("payload", 256)).withColumn("size", F.length("payload"))
-    rows = staged(rows.withColumn("number", F.monotonically_increasing_id()), "pages")
-    least = F.col("size") >= least_bytes
-    first = F.max(F.struct("rank", "number", "page")).alias("first")
-    groups = rows.where(least).groupBy("hash").agg(first, F.count(F.lit(1)).alias("copies"))
-    groups = groups.where("copies > 1").select(
-        "hash", F.col("first.page").alias("of_page"), F.col("first.number").alias("of_number")
+    total = rows.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("payload")).alias("size")).first()
+    hot = _hot_payloads(rows, total["n"], least_bytes)
+    built_ddl = (
+        f"page string, rank {pages.schema[id_col].dataType.simpleString()}, url string, number long, "
+        "size long, hash string, sha1 binary, record binary"
     )
-    chosen = salted_join(rows, groups, ["hash"], spread_by="number", how="left")
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    archives = max(1, -(-total // ARCHIVE_BYTES))
-    revisits = least & (F.col("of_number") != F.col("number"))
+    # Packed before it moves, and moved once, to where the copies of its payload are.
+    built = rows.mapInArrow(_responses(date, compress, least_bytes), built_ddl)
+    of_page, salts = F.lit(None).cast("string"), F.lit(1)
+    if hot:
+        table = F.create_map(*[F.lit(x) for hash_, (page, _) in hot.items() for x in (hash_, page)])
+        of_page = F.try_element_at(table, F.col("hash"))
+        table = F.create_map(*[F.lit(x) for hash_, (_, n) in hot.items() for x in (hash_, n)])
+        salts = F.coalesce(F.try_element_at(table, F.col("hash")), F.lit(1))
+    # A hot payload's rows are dealt over salts; those that may be its response stay together.
+    spread = F.when(of_page == F.col("page"), 0).otherwise(F.pmod(F.xxhash64("number"), salts))
     records = (
-        chosen.select(
-            "page",
-            "number",
-            "url",
-            # The payload of a revisit stays behind; what remains of it are digest and size.
-            F.when(revisits, F.unhex(F.sha1("payload"))).alias("sha1"),
-            "size",
-            F.when(~F.coalesce(revisits, F.lit(False)), F.col("payload")).alias("payload"),
-            F.when(revisits, F.col("of_page")).alias("of_page"),
-            F.when(revisits, F.col("of_number")).alias("of_number"),
-        )
-        .repartition(archives, "number")
-        .mapInArrow(_written(date, compress), "record binary")
+        built.withColumn("of_page", of_page)
+        .withColumn("salt", spread.cast("int"))
+        .repartition("hash", "salt")
+        .sortWithinPartitions("hash", "salt", F.desc_nulls_last("rank"))
+        .drop("rank")
+        .mapInArrow(_final(date, compress, least_bytes), "record binary")
     )
     between = zlib_member(b"") if compress else _END
     records.select(F.col("record").cast("string").alias("value")).write.option(
         "encoding", "ISO-8859-1"
-    ).option("lineSep", between.decode("latin-1")).text(path)
+    ).option("lineSep", between.decode("latin-1")).option(
+        "maxRecordsPerFile", max(1, int(ARCHIVE_BYTES / (total["size"] or 1)))
+    ).text(path)
+
+
+def _hot_payloads(rows: DataFrame, n: int, least_bytes: int) -> dict[str, tuple[str, int]]:
+    """By hash of each payload with more than one part in ``pieces`` of all rows: the page that is
+    its response, and its parts. Fewer than ``pieces`` can be."""
+    pieces = PIECES_PER_TASK * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    groups = rows.where(F.length("payload") >= least_bytes).groupBy(F.sha2("payload", 256).alias("hash"))
+    largest = groups.agg(
+        F.max(F.struct("rank", "page")).alias("last"), F.count(F.lit(1)).alias("copies")
+    ).where(F.col("copies") * pieces > 2 * n)
+    return {
+        row["hash"]: (row["last"]["page"], row["copies"] * pieces // n) for row in largest.collect()
+    }
 
 
 def zlib_member(data: bytes) -> bytes:
@@ -115,23 +125,22 @@ def _base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _record_id(page: str, number: int) -> str:
+def _record_id(page: str, number: object) -> str:
     return f"<urn:x-page:{quote(page, safe='-')}:{number}>"
 
 
 def _record(row: dict, date: str) -> bytes:
-    """One record up to the end of its block."""
-    revisit = row["payload"] is None
-    digest = row["sha1"] if revisit else hashlib.sha1(row["payload"]).digest()
+    """One record up to the end of its block; a revisit if it names a page that it is ``of``."""
+    revisit = row.get("of") is not None
     block = (
         b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
         b"Content-Length: %d\r\n\r\n" % row["size"]
-    ) + (row["payload"] or b"")
+    ) + (b"" if revisit else row["payload"])
     headers = [
         ("WARC-Type", "revisit" if revisit else "response"),
-        ("WARC-Record-ID", _record_id(row["page"], row["number"])),
+        ("WARC-Record-ID", _record_id(row["page"], row["name"])),
         ("WARC-Date", date),
-        ("WARC-Payload-Digest", f"sha1:{_base32(digest)}"),
+        ("WARC-Payload-Digest", f"sha1:{_base32(row['sha1'])}"),
         ("WARC-Block-Digest", f"sha1:{_base32(hashlib.sha1(block).digest())}"),
         ("Content-Type", "application/http; msgtype=response"),
         ("Content-Length", str(len(block))),
@@ -140,26 +149,68 @@ def _record(row: dict, date: str) -> bytes:
         url = re.sub(r"[\r\n]", lambda m: f"%{ord(m[0]):02X}", row["url"])
         headers.append(("WARC-Target-URI", url))
     if revisit:
-        headers.append(("WARC-Refers-To", _record_id(row["of_page"], row["of_number"])))
+        headers.append(("WARC-Refers-To", _record_id(row["of"], row["hash"])))
         headers.append(("WARC-Profile", _REVISIT))
     lines = "".join(f"{name}: {value}\r\n" for name, value in headers)
     return VERSION + b"\r\n" + lines.encode() + b"\r\n" + block
 
 
-def _written(date: str, compress: bool):
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    for i in range(batch.num_rows):
+        yield {name: batch.column(name)[i].as_py() for name in batch.schema.names}
+
+
+def _packed(record: bytes, compress: bool) -> bytes:
+    return zlib_member(record + _END) if compress else record
+
+
+def _responses(date: str, compress: bool, least_bytes: int):
+    """Every row as a response, with the hashes of its payload. What may be referred to is named by
+    its hash, which no other response of its id then has; the rest by number."""
+
     def run(batches):
         for batch in batches:
-            out, held = [], 0
-            for i in range(batch.num_rows):
-                row = {name: batch.column(name)[i].as_py() for name in batch.schema.names}
-                record = _record(row, date)
-                out.append(zlib_member(record + _END) if compress else record)
-                held += len(out[-1])
-                if held > _SEND_BYTES:
-                    yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
-                    out, held = [], 0
-            if out:
-                yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
+            kept = batch.select(["page", "rank", "url", "number"])
+            new, held, begin = [], 0, 0
+            for i, row in enumerate(_rows(batch.drop_columns(["rank"])), 1):
+                row["size"] = len(row["payload"])
+                row["sha1"] = hashlib.sha1(row["payload"]).digest()
+                row["hash"] = hashlib.sha256(row["payload"]).hexdigest()
+                row["name"] = row["hash"] if row["size"] >= least_bytes else row["number"]
+                new.append((row["size"], row["hash"], row["sha1"], _packed(_record(row, date), compress)))
+                held += len(new[-1][-1])
+                if held > _SEND_BYTES or i == batch.num_rows:
+                    kinds = (pa.int64(), pa.string(), pa.binary(), pa.binary())
+                    columns = [pa.array(c, kind) for c, kind in zip(zip(*new), kinds)]
+                    yield pa.RecordBatch.from_arrays(
+                        [*kept.slice(begin, i - begin).columns, *columns],
+                        names=[*kept.schema.names, "size", "hash", "sha1", "record"],
+                    )
+                    new, held, begin = [], 0, i
+
+    return run
+
+
+def _final(date: str, compress: bool, least_bytes: int):
+    """The records to write. The first row of a payload is its response, in the part of a hot one
+    that may hold it; all others become revisits."""
+
+    def run(batches):
+        last, first = None, None
+        for batch in batches:
+            out = []
+            for row in _rows(batch):
+                if row["size"] < least_bytes:
+                    out.append(row["record"])
+                    continue
+                if row["hash"] != last and row["salt"] == 0:
+                    last, first = row["hash"], row["page"]
+                    out.append(row["record"])
+                    continue
+                row["of"] = row["of_page"] if row["salt"] else first
+                row["name"] = row["number"]
+                out.append(_packed(_record(row, date), compress))
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["record"])
 
     return run
 
@@ -171,8 +222,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     record explains, and the first check that failed there. All other rows are records: ``headers``
     as they stand, ``payload`` the block, or what follows the HTTP headers where there are any, and
     ``payload_bytes`` its size, for a revisit the size that its HTTP headers state. A record is
-    sound if its member unpacks with the right checksum, its version line, headers and length hold,
-    blank lines end it, and digests that it states in MD5, SHA-1 or SHA-256 agree. Empty files and
+    sound if its member unpacks with the right checksum, its version line and headers hold, among
+    them id, type and length, blank lines end it, and digests that it states in MD5, SHA-1 or SHA-256 agree. Empty files and
     members have no records. An archive is read in one task, which holds it whole.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
@@ -279,10 +330,13 @@ def _parsed(data, at: int) -> tuple[dict, int]:
     end = begin + int(length)
     if bytes(data[end : end + 4]) != _END:
         raise _Damage("no blank lines behind the block")
+    for name in ("warc-type", "warc-record-id"):
+        if name not in fields:
+            raise _Damage(f"no {name}", end + 4)
     block = data[begin:end]
     if not _digest_holds(fields.get("warc-block-digest"), block):
         raise _Damage("block digest does not agree", end + 4)
-    kind = fields.get("warc-type", "")
+    kind = fields["warc-type"].lower()
     payload, size = block, len(block)
     if fields.get("content-type", "").lower().startswith("application/http"):
         stop, body = _blank_line(block, 0, len(block))
@@ -295,7 +349,7 @@ def _parsed(data, at: int) -> tuple[dict, int]:
     if kind != "revisit" and not _digest_holds(fields.get("warc-payload-digest"), payload):
         raise _Damage("payload digest does not agree", end + 4)
     record = {
-        "record_id": fields.get("warc-record-id"),
+        "record_id": fields["warc-record-id"],
         "record_type": kind,
         "headers": fields,
         "payload_bytes": size,
@@ -321,7 +375,7 @@ def _at(data: memoryview, at: int) -> tuple[list[dict], int]:
     return records, end
 
 
-_CANDIDATE = re.compile(rb"\x1f\x8b\x08|(?:(?<=\n)|\A)WARC/1\.")
+_CANDIDATE = re.compile(rb"\x1f\x8b\x08|WARC/1\.\d+\r?\n")
 
 
 def salvaged(content: bytes) -> Iterator[dict]:
