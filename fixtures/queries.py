@@ -622,10 +622,17 @@ def _stream_open(spark, sf):
     out, state = shared_dir(spark, "stream-out"), shared_dir(spark, "stream-checkpoint")
     lines = sources.stream_log_lines(spark, d.log_files(spark, sf))
     streaming.stream_compile_records(lines, out, state, ttl_s=6 * 3600).awaitTermination()
-    expired = spark.read.schema(streaming.compile_events.UNFINISHED_DDL).parquet(
-        f"{out}/unfinished/*"
+    path = shared_dir(spark, "expired")
+    query = (
+        streaming.stream_unfinished(spark, out)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", shared_dir(spark, "expired-checkpoint"))
+        .trigger(availableNow=True)
+        .start()
     )
-    return _with_times(expired.drop("source_log"), "start_ts")
+    query.awaitTermination()
+    return _with_times(spark.read.parquet(path).drop("source_log"), "start_ts")
 
 
 def all_queries() -> dict[str, Query]:

@@ -27,6 +27,9 @@ START, END = "START", "END"
 _CHUNK = ["file_rank", "block"]
 _PLACE = [*_CHUNK, "line_no"]
 
+# Parts over which the events of a query id are dealt that meet nothing outside their chunk.
+_PARTS = 1 << 16
+
 
 def classify_log_lines(lines: DataFrame, max_query_len: int | None = None) -> DataFrame:
     """START and END lines as events; other lines are dropped.
@@ -88,84 +91,89 @@ def classify_log_lines(lines: DataFrame, max_query_len: int | None = None) -> Da
     return counted.withColumn("query", truncate_query(F.col("query"), max_query_len))
 
 
-def _consuming(events: DataFrame) -> DataFrame:
-    """Events that change what is in flight: an END with an unreadable time does not."""
-    return events.where((F.col("kind") == START) | F.col("compile_ms").isNotNull())
-
+def event_outcomes(events: DataFrame) -> DataFrame:
+    """The events that have an outcome, with ``outcome`` and the START that a pair took.
 
-def pair_compile_events(events: DataFrame) -> DataFrame:
-    """Each END with the latest START of its query id that no other END took, in log order.
+    An END takes the START right before it, in log order among the readable events of its query
+    id: it is a ``pair`` with that as ``start``, or an ``orphan``. A START that no END takes is
+    ``unfinished``, or ``replaced`` by the START behind it; one that is taken is left out, as its
+    pair has it. An END whose time is unreadable is an ``error`` and changes nothing.
 
-    Pairs are looked for inside one (query id, log chunk) first, so that an id with a large
-    share of all lines is spread over as many tasks as the log has chunks. Only what is open
-    at a chunk's edge, at most two rows per id and chunk, meets in a second window per id.
+    Neighbours are looked for inside one (query id, log chunk) first, so that an id with a large
+    share of all lines is spread over as many tasks as the log has chunks. The first and the last
+    event of each such piece, its edges, then meet those of the id's other chunks; all other
+    events pass this second window in parts of their own.
     """
-    start = ["kind", "user", "query", "union_count", "ts"]
-    in_chunk = Window.partitionBy("query_id", *_CHUNK).orderBy("line_no")
-    near = _consuming(events).select(
-        "*",
-        *[F.lag(c).over(in_chunk).alias(f"start_{c}") for c in start],
-        F.lead("kind").over(in_chunk).isNull().alias("is_last"),
+    is_error = (F.col("kind") == END) & F.col("compile_ms").isNull()
+    start = F.struct("kind", "user", "query", "union_count", "ts")
+    in_chunk = Window.partitionBy("query_id", *_CHUNK, "is_error").orderBy("line_no")
+    near = events.withColumn("is_error", is_error).withColumns(
+        {"start": F.lag(start).over(in_chunk), "next_kind": F.lead("kind").over(in_chunk)}
+    )
+    is_first, is_last = F.col("start").isNull(), F.col("next_kind").isNull()
+    is_edge = ~F.col("is_error") & (is_first | is_last)
+    is_taken = (F.col("kind") == START) & (F.col("next_kind") == END)
+    alone = F.pmod(F.xxhash64(*_PLACE), F.lit(_PARTS)).cast("int")
+    part = F.when(is_edge, F.lit(-1)).otherwise(alone)
+    near = near.withColumns({"is_edge": is_edge, "part": part})
+    near = near.where(F.col("is_edge") | ~F.coalesce(is_taken, F.lit(False)))
+
+    over_id = Window.partitionBy("query_id", "part").orderBy(*_PLACE)
+    far_start, far_kind = F.lag(start).over(over_id), F.lead("kind").over(over_id)
+    both = near.withColumns({"far_start": far_start, "far_kind": far_kind})
+    joined = both.withColumns(
+        {
+            "start": F.when(F.col("is_edge") & is_first, F.col("far_start")).otherwise(F.col("start")),
+            "next_kind": F.when(F.col("is_edge") & is_last, F.col("far_kind")).otherwise(
+                F.col("next_kind")
+            ),
+        }
+    )
+    outcome = (
+        F.when(F.col("is_error"), "error")
+        .when((F.col("kind") == END) & (F.col("start.kind") == START), "pair")
+        .when(F.col("kind") == END, "orphan")
+        .when(F.col("next_kind").isNull(), "unfinished")
+        .when(F.col("next_kind") == START, "replaced")
+    )
+    return (
+        joined.withColumn("outcome", outcome)
+        .where("outcome IS NOT NULL")
+        .select(*events.columns, "start", "outcome")
     )
-    is_end = F.col("kind") == END
-    took = is_end & (F.col("start_kind") == START)
 
-    waiting = is_end & F.col("start_kind").isNull()
-    edge = near.where(waiting | F.col("is_last")).withColumn("waiting", waiting)
-    over_id = Window.partitionBy("query_id").orderBy(*_PLACE)
-    far = edge.select(
+
+def compile_records(outcomes: DataFrame) -> DataFrame:
+    """The pairs of ``event_outcomes`` as one record each."""
+    return outcomes.where("outcome = 'pair'").select(
         "query_id",
-        "source_log",
-        "compile_ms",
-        "ts",
-        "waiting",
-        "kind",
-        *[F.lag(c).over(over_id).alias(f"start_{c}") for c in start],
-    ).where(took & F.col("waiting"))
-
-    record = [
-        F.col("query_id"),
-        F.col("start_user").alias("user"),
+        F.col("start.user").alias("user"),
         F.col("compile_ms").alias("compile_time_ms"),
-        F.col("start_union_count").alias("union_count"),
-        F.col("start_ts"),
+        F.col("start.union_count").alias("union_count"),
+        F.col("start.ts").alias("start_ts"),
         F.col("ts").alias("end_ts"),
-        F.col("source_log"),
-        F.col("start_query").alias("query"),
-    ]
-    return near.where(took).select(*record).unionByName(far.select(*record))
+        "source_log",
+        F.col("start.query").alias("query"),
+    )
 
 
-def open_starts(events: DataFrame) -> DataFrame:
-    """START events that no END took, with ``status``: unfinished, or replaced by a later START.
+def pair_compile_events(events: DataFrame) -> DataFrame:
+    """Each END with the latest START of its query id that no other END took, in log order."""
+    return compile_records(event_outcomes(events))
 
-    Looks inside the chunks first and then at their edges, as the pairing does.
-    """
-    in_chunk = Window.partitionBy("query_id", *_CHUNK).orderBy("line_no")
-    near = _consuming(events).select(
-        "*",
-        F.lead("kind").over(in_chunk).alias("next_kind"),
-        F.lag("kind").over(in_chunk).isNull().alias("is_first"),
-    )
-    is_start = F.col("kind") == START
-    is_open = is_start & F.col("next_kind").isNull()
-    replaced = near.where(is_start & (F.col("next_kind") == START)).select(
-        *events.columns, F.lit("replaced").alias("status")
-    )
-    over_id = Window.partitionBy("query_id").orderBy(*_PLACE)
-    edge = (
-        near.where(F.col("is_first") | is_open)
-        .withColumn("is_open", is_open)
-        .withColumn("later_kind", F.lead("kind").over(over_id))
-        .where(F.col("is_open") & (F.col("later_kind").isNull() | (F.col("later_kind") == START)))
+
+def open_starts(outcomes: DataFrame) -> DataFrame:
+    """START events that no END took, with ``status``: unfinished, or replaced by a later START."""
+    return (
+        outcomes.where("outcome IN ('unfinished', 'replaced')")
+        .withColumnRenamed("outcome", "status")
+        .drop("start")
     )
-    status = F.when(F.col("later_kind").isNull(), "unfinished").otherwise("replaced")
-    return replaced.unionByName(edge.select(*events.columns, status.alias("status")))
 
 
 def unfinished_queries(events: DataFrame) -> DataFrame:
     """STARTs that no END took, as ``unfinished`` or as ``replaced`` by a later START."""
-    return open_starts(events).select(
+    return open_starts(event_outcomes(events)).select(
         "query_id", "user", F.col("ts").alias("start_ts"), "source_log", "query", "status"
     )
 
@@ -212,20 +220,18 @@ def compile_stats_by_hour(records: DataFrame) -> DataFrame:
 
 def log_parse_quality(events: DataFrame) -> DataFrame:
     """One row: unreadable ENDs, ENDs without a START, STARTs without an END, and pairs."""
-    seen = events.select(
-        F.when(F.col("kind") == START, "start")
-        .when(F.col("compile_ms").isNull(), "error")
-        .otherwise("end")
-        .alias("what")
-    )
-    pairs = pair_compile_events(events).select(F.lit("pair").alias("what"))
+    return outcome_quality(event_outcomes(events))
+
+
+def outcome_quality(outcomes: DataFrame) -> DataFrame:
+    """The same from the outcomes of events."""
 
-    def n(what: str):
-        return F.count_if(F.col("what") == what)
+    def n(*what: str) -> Column:
+        return F.count_if(F.col("outcome").isin(*what))
 
-    return seen.unionByName(pairs).agg(
+    return outcomes.agg(
         n("error").alias("parse_errors"),
-        (n("end") - n("pair")).alias("orphan_ends"),
-        (n("start") - n("pair")).alias("unfinished_starts"),
+        n("orphan").alias("orphan_ends"),
+        n("unfinished", "replaced").alias("unfinished_starts"),
         n("pair").alias("pairs"),
     )

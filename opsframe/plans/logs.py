@@ -11,10 +11,11 @@ from opsframe.operators.logs import (
     COMPILE_THRESHOLD_MS,
     UNION_THRESHOLD,
     classify_log_lines,
+    compile_records,
     compile_stats_by_hour,
     compile_stats_by_user,
-    log_parse_quality,
-    pair_compile_events,
+    event_outcomes,
+    outcome_quality,
     with_compile_flags,
 )
 from opsframe.schemas import COMPILE_RECORD_COLUMNS
@@ -54,25 +55,21 @@ def compile_log_report(
 ) -> CompileLogReport:
     """Per-query compile records with per-user and per-hour statistics.
 
-    ``stage`` keeps events and records in the shared folder, so that the logs are read and
-    paired once for all four results; without it each result is a plan of its own.
+    ``stage`` keeps the outcomes of all events in the shared folder, so that the logs are read
+    and paired once for all four results; without it each result is a plan of its own.
     """
-    events = classify_log_lines(scan_log_lines(spark, paths), max_query_len)
+    outcomes = event_outcomes(classify_log_lines(scan_log_lines(spark, paths), max_query_len))
     if stage:
-        events = staged(events, "compile-events")
-    records = with_compile_flags(
-        pair_compile_events(events), compile_threshold_ms, union_threshold
-    )
-    if stage:
-        records = staged(records, "compile-records")
+        outcomes = staged(outcomes, "compile-outcomes")
+    records = with_compile_flags(compile_records(outcomes), compile_threshold_ms, union_threshold)
     return CompileLogReport(
         records=records.select(*COMPILE_RECORD_COLUMNS),
         per_user=compile_stats_by_user(records),
         per_hour=compile_stats_by_hour(records),
-        quality=log_parse_quality(events),
+        quality=outcome_quality(outcomes),
         thresholds={
             "compile_threshold_ms": compile_threshold_ms,
             "union_threshold": union_threshold,
         },
-        tables=(events, records) if stage else (),
+        tables=(outcomes,) if stage else (),
     )

@@ -10,7 +10,9 @@ by the batch and overwritten when a batch runs again, so a restart repeats no re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from datetime import datetime
+
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
@@ -19,8 +21,9 @@ from opsframe.operators.logs import (
     COMPILE_THRESHOLD_MS,
     UNION_THRESHOLD,
     classify_log_lines,
+    compile_records,
+    event_outcomes,
     open_starts,
-    pair_compile_events,
     with_compile_flags,
 )
 from opsframe.schemas import COMPILE_RECORD_COLUMNS
@@ -67,29 +70,30 @@ def stream_compile_records(
         )
         if "line_no" not in lines.columns:
             lines = lines.withColumn("line_no", F.monotonically_increasing_id())
-        fresh = classify_log_lines(lines, max_query_len).withColumn("file_rank", place)
-        fresh = fresh.select(*_names(EVENT_DDL)).persist()
-        try:
-            emit(fresh, batch)
-        finally:
-            fresh.unpersist()
-
-    def emit(fresh: DataFrame, batch: int) -> None:
-        events = fresh
+        events = classify_log_lines(lines, max_query_len).withColumn("file_rank", place)
+        events = events.select(*_names(EVENT_DDL))
         if batch > 0:
-            events = spark.read.schema(EVENT_DDL).parquet(f"{out}/open/batch={batch - 1}")
-            events = events.unionByName(fresh)
-
+            open_before = spark.read.schema(EVENT_DDL).parquet(f"{out}/open/batch={batch - 1}")
+            events = open_before.unionByName(events)
+        seen = Observation()
+        events = events.observe(seen, F.max("ts").alias("newest"))
+        # Written once, so that lines are read and paired once for records and open STARTs.
+        work = f"{out}/work/batch={batch}"
+        event_outcomes(events).write.mode("overwrite").parquet(work)
+        emit(spark.read.parquet(work), seen.get["newest"], batch)
+        delete_folder(spark, work)
+
+    def emit(outcomes: DataFrame, newest: datetime | None, batch: int) -> None:
         records = with_compile_flags(
-            pair_compile_events(events), compile_threshold_ms, union_threshold
+            compile_records(outcomes), compile_threshold_ms, union_threshold
         ).select(*COMPILE_RECORD_COLUMNS)
         records.write.mode("overwrite").parquet(f"{out}/records/batch={batch}")
 
-        waiting = open_starts(events).where("status = 'unfinished'")
+        waiting = open_starts(outcomes).where("status = 'unfinished'")
         if ttl_s is not None:
-            newest = as_instant(events.agg(F.max("ts")).first()[0])
-            limit = newest - F.make_dt_interval(secs=F.lit(ttl_s))
-            aged = waiting.withColumn("ts", F.coalesce("ts", newest))
+            now = as_instant(newest)
+            limit = now - F.make_dt_interval(secs=F.lit(ttl_s))
+            aged = waiting.withColumn("ts", F.coalesce("ts", now))
             gone = F.coalesce(F.col("ts") < limit, F.lit(False))
             aged.where(gone).select(
                 "query_id",
