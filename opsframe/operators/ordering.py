@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 import pyarrow as pa
@@ -14,7 +14,7 @@ PIECES_PER_TASK = 4
 
 # Rows that a bucket of a sorted order holds on average, unless that makes more buckets than
 # pieces; keys in the sketch of the order for each of its buckets.
-BUCKET_ROWS = 1 << 16
+BUCKET_ROWS = 1 << 20
 _KEYS_PER_BUCKET = 32
 
 # Keys that the sketch of frequent ones counts at once, for each piece.
@@ -92,23 +92,34 @@ class _Buckets:
             same = same & key[f"k{i}"].eqNullSafe(other[f"k{i}"])
         return same
 
-    def _keyed(self, df: DataFrame) -> DataFrame:
-        """With ``_key``, ``_bounds`` and, by halving, ``_bucket``: the bounds not above the key."""
+    def _with(self, df: DataFrame, name: str, use: Callable[..., Column]) -> DataFrame:
+        """Adds a column of (key, bucket, bounds); the bucket is the number of bounds that are not
+        above the key, found by halving. Key and bucket are computed once for each row."""
         widths = F.array(*[F.lit(1 << i) for i in reversed(range(self.n.bit_length()))])
+        bounds = F.col("_bounds")
 
-        def step(at: Column, width: Column) -> Column:
-            fits = F.get("_bounds", at + width - 1) <= F.col("_key")
-            return at + F.when(fits, width).otherwise(0)
+        def bucket(key: Column) -> Column:
+            def step(at: Column, width: Column) -> Column:
+                fits = F.get(bounds, at + width - 1) <= key
+                return at + F.when(fits, width).otherwise(0)
 
-        keyed = df.withColumn("_key", self.key).withColumn("_bounds", self.bounds.scalar())
-        return keyed.withColumn("_bucket", F.aggregate(widths, F.lit(0), step))
+            return F.aggregate(widths, F.lit(0), step)
+
+        def once(value: Column, then: Callable[[Column], Column]) -> Column:
+            return F.get(F.transform(F.array(value), then), F.lit(0))
+
+        found = once(self.key, lambda key: once(bucket(key), lambda at: use(key, at, bounds)))
+        return df.withColumn("_bounds", self.bounds.scalar()).withColumn(name, found).drop("_bounds")
 
     def _rows_before(self, df: DataFrame) -> list[int]:
         """Per bucket the rows of its first group, which is that of its bound, in earlier ones."""
-        following = F.get("_bounds", F.col("_bucket"))
-        goes_on = following.isNotNull() & self._same_group(F.col("_key"), following)
-        counts = self._keyed(df).where(goes_on).groupBy("_bucket").count().collect()
-        ahead = {row["_bucket"]: row["count"] for row in counts}
+
+        def goes_on(key: Column, at: Column, bounds: Column) -> Column:
+            following = F.get(bounds, at)
+            return F.when(following.isNotNull() & self._same_group(key, following), at)
+
+        counts = self._with(df, "_at", goes_on).where("_at IS NOT NULL").groupBy("_at").count()
+        ahead = {row["_at"]: row["count"] for row in counts.collect()}
         flags = [True] * self.n
         if self.by:
             pairs = F.arrays_zip(F.slice("_bounds", 2, self.n).alias("a"), F.col("_bounds").alias("b"))
@@ -123,18 +134,21 @@ class _Buckets:
 
     def numbered(self, df: DataFrame) -> DataFrame:
         """Adds ``position``."""
-        inside = Window.partitionBy("_bucket", *map(_name, self.by))
-        place = F.row_number().over(inside.orderBy(*map(_name, self.order), self.tie))
-        place = place.cast("bigint") - 1 + F.col("_before")
+
+        def place(key: Column, at: Column, bounds: Column) -> Column:
+            first = (at > 0) & self._same_group(key, F.get(bounds, at - 1))
+            before = F.get(F.lit(self.before).cast("array<bigint>"), at)
+            return F.struct(at.alias("bucket"), F.when(first, before).otherwise(0).alias("before"))
+
         if self.n == 1:
-            cut = df.withColumns({"_bucket": F.lit(0), "_before": F.lit(0).cast("bigint")})
+            zero = F.struct(F.lit(0).alias("bucket"), F.lit(0).cast("bigint").alias("before"))
+            cut = df.withColumn("_at", zero)
         else:
-            bound = F.get("_bounds", F.col("_bucket") - 1)
-            before = F.get(F.lit(self.before).cast("array<bigint>"), F.col("_bucket"))
-            first = (F.col("_bucket") > 0) & self._same_group(F.col("_key"), bound)
-            cut = self._keyed(df).withColumn("_before", F.when(first, before).otherwise(0))
-            cut = cut.drop("_key", "_bounds")
-        return cut.withColumn("position", place).drop("_bucket", "_before")
+            cut = self._with(df, "_at", place)
+        inside = Window.partitionBy("_at.bucket", *map(_name, self.by))
+        number = F.row_number().over(inside.orderBy(*map(_name, self.order), self.tie))
+        position = number.cast("bigint") - 1 + F.col("_at.before")
+        return cut.withColumn("position", position).drop("_at")
 
 
 def with_position(
