@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from opsframe.llm import winnow
 from opsframe.llm.fm_index import FmIndex
-from opsframe.llm.units import blocks, prefix_sums, span_hash
+from opsframe.llm.units import Spans, blocks
 from opsframe.session import staged
 
 #: Bytes of a shard's words (8 for each), and words of an anchor.
@@ -112,7 +112,7 @@ def _solve(window: int):
 
 def _pieces(col, flat, row, start, place, window) -> pa.RecordBatch:
     """Rows of kind 2: the shard's distinct windows of an anchor, a row for each range."""
-    contents = span_hash(prefix_sums(flat.view(np.uint64)), place, place + window)
+    contents = Spans(flat.view(np.uint64)).hashes(place, place + window)
     rows, heads, ranges = winnow.pieces(
         col["hash"][row], contents, col["last"][row], contents
     )

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from opsframe.llm import winnow
 from opsframe.llm.suffixes import common_prefixes, suffix_array
-from opsframe.llm.units import blocks, prefix_sums, span_hash
+from opsframe.llm.units import Spans, blocks
 from opsframe.session import staged
 
 #: Bytes of a shard, and length of the anchors.
@@ -125,8 +125,7 @@ def _repeats(col, row, place, length) -> pa.RecordBatch:
 
 def _pieces(col, data, row, place, start, group, length) -> pa.RecordBatch:
     """Rows of kind 2: the shard's distinct strings of an anchor, sorted, a row for each range."""
-    sums = prefix_sums(data)
-    contents = span_hash(sums, start, start + length)
+    contents = Spans(data).hashes(start, start + length)
     rows, heads, ranges = winnow.pieces(col["hash"][row], contents, col["last"][row], group)
     row, place, start = row[rows], place[rows], start[rows]
     ends = np.append(heads, len(rows)).astype(np.int32)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from opsframe.llm.units import blocks, mix, prefix_sums, span_hash, word_hashes, words
+from opsframe.llm.units import Spans, blocks, mix, prefix_sums, span_hash, word_hashes, words
 from opsframe.session import staged
 
 #: Spans that one block holds at one anchor hash.
@@ -264,7 +264,8 @@ def _anchors(values: np.ndarray, offsets: np.ndarray, window: int, gram: int) ->
         a, b = np.flatnonzero(new), np.flatnonzero(last)
         if len(a):
             text = np.searchsorted(offsets, a + begin, "right") - 1
-            yield text, a + begin, b - a, grams[anchor[a]], span_hash(sums, a, b + window)
+            contents = Spans(piece).hashes(a, b + window)
+            yield text, a + begin, b - a, grams[anchor[a]], contents
 
 
 def _resolved(block: int):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from opsframe.llm.knn_join import top_k
+from opsframe.llm.ngram_join import ngram_components
 from opsframe.llm.quality import features
 from opsframe.llm.sharding import assign_shards, fewest_bytes
 from opsframe.llm.substring_dedup import remove_repeated_passages
@@ -126,6 +127,28 @@ def test_pipeline_keeps_unrelated_texts_of_one_id(spark):
     assert sorted(tuple(r) for r in kept) == sorted(expected)
 
 
+def _morse(n: int) -> str:
+    """Words of 2**n letters that polynomials modulo 2**64 can't tell from their opposites."""
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(1 << n))
+
+
+def test_words_and_spans_that_weak_hashes_confuse(spark):
+    a = _morse(10)
+    b = a.translate(str.maketrans("ab", "ba"))
+    filler = [[f"{c}{i}" for i in range(9)] for c in "xyz"]
+    texts = [" ".join([*filler[0], word, *filler[1], "end"]) for word in (a, b)]
+    # Nothing that the two share is as long as a window or makes four fifths of their shingles.
+    texts += [" ".join([word] * 20) for word in (a, b)]
+    df = spark.createDataFrame(enumerate(texts), "doc_id long, text string")
+    kept = {r["doc_id"]: r["kept"].decode() for r in remove_repeated_passages(df).collect()}
+    assert kept == dict(enumerate(texts))
+    found = {r["doc_id"]: r["component_id"] for r in ngram_components(df).collect()}
+    assert found == {i: i for i in range(4)}
+    joined = spark.createDataFrame([(0, a), (1, b)], "doc_id long, text string")
+    kept = {r["doc_id"]: r["kept"].decode() for r in remove_repeated_bytes(joined, length=1024).collect()}
+    assert kept == {0: a, 1: b}
+
+
 def test_features_do_not_depend_on_the_text_before():
     texts = ["Short one.", "", "zz", "Short one.", "a", None, "Short one."]
     together = np.concatenate(list(features(pa.array(texts))))
