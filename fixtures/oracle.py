@@ -265,6 +265,12 @@ doomed AS (
 DAY_SQL = "CAST(o_orderdate AS DATE) = DATE '1998-10-03'"
 
 
+BACKUP_WAL = f"""
+SELECT 'c1/wal_backups/psqld1/1998-10-03/' || CAST(o_orderkey AS VARCHAR) || '.wal' AS key,
+  'wal_backups/' || CAST(o_orderkey AS VARCHAR) || '.wal' AS target
+FROM orders WHERE o_orderstatus = 'P' AND {DAY_SQL}"""
+
+
 def all_sql() -> dict[str, str]:
     start_end = f"{MS.format('start_ts')}, {MS.format('end_ts')}"
     pairs = f"""
@@ -361,6 +367,7 @@ WITH {META} SELECT c_custkey AS TBL_ID, colCount FROM inventory WHERE colCount >
         "partition_counts": f"""
 WITH {META} SELECT c_custkey AS TBL_ID, partCount FROM inventory""",
         "table_inventory": INVENTORY,
+        "inventory_report": INVENTORY,
         "scan_metastore": INVENTORY,
         "table_inventory_of_databases": f"{INVENTORY} WHERE DB_NAME IN ('NATION_1', 'NATION_7')",
         "partition_key_mismatch": f"""
@@ -441,6 +448,8 @@ SELECT 'role_' || CAST(o_orderkey AS VARCHAR) AS name, md5('{"name":"role_' || o
 FROM orders""",
         "scan_policy_list": URLS_ALL,
         "scan_policy_map": f"WITH {POL} SELECT id, name, service FROM pol",
+        "map_documents": f"WITH {POL} SELECT id, name, service FROM pol",
+        "scan_parquet": "SELECT * FROM customer",
         "scan_document_pages": """
 SELECT o_orderkey AS id, 'role_' || CAST(o_orderkey AS VARCHAR) AS name FROM orders""",
         "scan_grants_csv": MERGE,
@@ -507,10 +516,8 @@ FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 0 AND {DAY_SQL}""",
 SELECT 'c1/sql_backups/psqld1/1998-10-03/db' || CAST(o_orderkey AS VARCHAR) || '.sql' AS key,
   'sql_backups/db' || CAST(o_orderkey AS VARCHAR) || '.sql' AS target
 FROM orders WHERE o_orderstatus = 'O' AND o_orderkey % 2 = 1 AND {DAY_SQL}""",
-        "select_backup_objects_wal": f"""
-SELECT 'c1/wal_backups/psqld1/1998-10-03/' || CAST(o_orderkey AS VARCHAR) || '.wal' AS key,
-  'wal_backups/' || CAST(o_orderkey AS VARCHAR) || '.wal' AS target
-FROM orders WHERE o_orderstatus = 'P' AND {DAY_SQL}""",
+        "select_backup_objects_wal": BACKUP_WAL,
+        "select_backup_objects_today": BACKUP_WAL,
         "endpoint_for": """
 SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'UTATB' WHEN 'HOUSEHOLD' THEN 'DTAVB'
     WHEN 'MACHINERY' THEN 'AVBATB' ELSE 'LAB' END || CAST(c_nationkey AS VARCHAR) AS cluster,

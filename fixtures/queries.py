@@ -343,6 +343,13 @@ def _policy_map(spark, sf):
     return sources.scan_policy_map(spark, path, lines=True).select("id", "name", "service")
 
 
+def _map_documents(spark, sf):
+    entries = F.collect_list(F.struct("name", F.struct("id", "name", "service")))
+    page = F.floor(F.col("id") / 100).alias("page")
+    maps = d.policies(spark, sf).groupBy(page).agg(F.map_from_entries(entries).alias("documents"))
+    return maps.select(F.inline(fn.map_documents(F.col("documents"))))
+
+
 def _document_pages(spark, sf):
     path = shared_dir(spark, "role-pages")
     roles = d.import_results(spark, sf).select(
@@ -497,6 +504,14 @@ def _backup(kind: str, date_match: str = "basename_compact") -> Query:
     )
 
 
+def _backup_of_today(spark, sf):
+    """Without a date, from a listing whose backups of one day are moved to today."""
+    then, today = F.lit(d.BACKUP_DATE), F.current_date().cast("string")
+    moved = d.backup_listing(spark, sf).withColumn("key", F.replace("key", then, today))
+    chosen = objects.select_backup_objects(moved, cluster="c1", instance="psqld1", kind="WAL")
+    return chosen.select(*[F.replace(c, today, then).alias(c) for c in ("key", "target")])
+
+
 def _endpoints(spark, sf):
     rules = [("contains", "ATB", "virginia"), ("contains", "AVB", "texas")]
     return objects.endpoint_for(d.clusters(spark, sf), rules, missing="null")
@@ -693,6 +708,7 @@ def all_queries() -> dict[str, Query]:
         "column_counts": lambda s, sf: catalog.column_counts(d.metastore(s, sf)),
         "partition_counts": lambda s, sf: catalog.partition_counts(d.metastore(s, sf)),
         "table_inventory": lambda s, sf: catalog.table_inventory(d.metastore(s, sf)),
+        "inventory_report": lambda s, sf: plans.inventory_report(d.metastore(s, sf)),
         "table_inventory_of_databases": lambda s, sf: catalog.table_inventory(
             d.metastore(s, sf), dbs=["NATION_1", "NATION_7"]
         ),
@@ -721,6 +737,7 @@ def all_queries() -> dict[str, Query]:
         "migrate_policies_documents": _migrate_files,
         "whole_policy_documents": _whole_policies,
         "whole_role_pages": _whole_roles,
+        "map_documents": _map_documents,
         "scan_policy_list": _policy_files,
         "scan_documents": _policy_pages,
         "scan_policy_map": _policy_map,
@@ -732,6 +749,7 @@ def all_queries() -> dict[str, Query]:
         "concat_pages": _pages,
         # objects and rows
         "scan_object_listing": _object_files,
+        "scan_parquet": lambda s, sf: sources.scan_parquet(s, f"{sf}/customer.parquet"),
         "expired_folders": _folders("flat"),
         "expired_folders_clustered": _folders("clustered"),
         "retention_plan": _retention_plan,
@@ -740,6 +758,7 @@ def all_queries() -> dict[str, Query]:
         "select_backup_objects_sql": _backup("SQL"),
         "select_backup_objects_sql_by_key": _backup("SQL", "key_iso"),
         "select_backup_objects_wal": _backup("WAL"),
+        "select_backup_objects_today": _backup_of_today,
         "endpoint_for": _endpoints,
         "split_by_retention": _split_rows,
         "retention_delete_counts": _delete_counts,
