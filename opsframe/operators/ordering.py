@@ -17,8 +17,9 @@ PIECES_PER_TASK = 4
 BUCKET_ROWS = 1 << 20
 _KEYS_PER_BUCKET = 32
 
-# Keys that the sketch of frequent ones counts at once, for each piece.
+# Keys that the sketch of frequent ones counts at once, for each piece, and the most it can count.
 _COUNTED_PER_PIECE = 8
+_MOST_COUNTED = 1_000_000
 
 
 def _pieces(df: DataFrame) -> int:
@@ -194,12 +195,12 @@ def chunk_rows(df: DataFrame, n: int, order: Sequence[str], by: Sequence[str] =
 def first_per_key(
     df: DataFrame, keys: Sequence[str], order: str | Column, last: bool = False
 ) -> DataFrame:
-    """One row per key, the first by ``order``, a row without order only where all are;
-    copies are dropped before the shuffle."""
+    """One row per key, the first by ``order``, a row without order only where all are; of rows
+    that tie the same one each time, by a hash of the row. Copies are dropped before the shuffle."""
     rest = [c for c in df.columns if c not in keys]
     pick = F.max_by if last else F.min_by
     order = F.col(order) if isinstance(order, str) else order
-    order = F.struct(order.isNotNull() if last else order.isNull(), order)
+    order = F.struct(order.isNotNull() if last else order.isNull(), order, row_hash(df))
     return (
         df.groupBy(*keys)
         .agg(pick(F.struct(*rest), order).alias("_row"))
@@ -221,7 +222,7 @@ def hot_keys(
     """Hash of each key with more than one part in ``pieces`` of all rows, and its parts.
 
     One pass over the key columns: a sketch of frequent items, which holds a bounded number of
-    them, counts each hot key with an error far below a part. ``kinds`` names the types in which
+    them, finds each hot key and counts it with an error below a part. ``kinds`` names the types in which
     the keys are joined, if they are not those of ``df``.
     """
     if pieces < 2:
@@ -229,9 +230,8 @@ def hot_keys(
     kinds = kinds or [(k, df.schema[k].dataType) for k in keys]
     some = [F.col(k).isNotNull() for k in keys]
     hashed = F.when(reduce(Column.__and__, some), _key_hash(kinds))
-    frequent = F.call_function(
-        "approx_top_k", hashed, F.lit(pieces), F.lit(pieces * _COUNTED_PER_PIECE)
-    )
+    counted = min(pieces * _COUNTED_PER_PIECE, _MOST_COUNTED)
+    frequent = F.call_function("approx_top_k", hashed, F.lit(min(pieces, counted)), F.lit(counted))
     found = df.agg(frequent.alias("found"), F.count(F.lit(1)).alias("n")).first()
     parts = {row["item"]: -(-row["count"] * pieces // found["n"]) for row in found["found"] or []}
     return {item: n for item, n in parts.items() if item is not None and n > 1}

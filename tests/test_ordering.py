@@ -153,6 +153,16 @@ def test_first_per_key_without_order(spark):
         assert found == {"a": "x", "b": "z"}
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_first_per_key_of_ties_is_the_same_row_each_time(spark, last):
+    frame = spark.range(500).selectExpr("id % 5 AS g", "1 AS o", "id AS v")
+    found = [
+        sorted(tuple(r) for r in ordering.first_per_key(f, ["g"], "o", last=last).collect())
+        for f in (frame, frame.repartition(7, "v"), frame.orderBy(F.desc("v")))
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 5
+
+
 def test_concat_pages_keeps_copies(spark):
     a, b = spark.createDataFrame([(1,)], "x INT"), spark.createDataFrame([(1, 2)], "x INT, y INT")
     rows = ordering.concat_pages(a, b).orderBy(F.col("y").asc_nulls_first()).collect()
