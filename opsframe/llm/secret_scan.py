@@ -143,14 +143,15 @@ def _matches(automaton, rules, exact, data, offsets) -> Iterator[tuple[int, list
         return
     # The stretch between two resetting bytes, and the rules that end there.
     stretch = np.searchsorted(resets, places)
-    bits = automaton.rules[states]
+    order = np.argsort(stretch, kind="stable")
+    numbers, firsts = np.unique(stretch[order], return_index=True)
+    bits = np.bitwise_or.reduceat(automaton.rules[states][order], firsts)
     found: dict[int, list] = {}
-    for i in np.unique(stretch):
+    for i, here in zip(numbers, bits):
         begin = int(resets[i - 1]) + 1 if i else 0
         end = int(resets[i]) if i < len(resets) else len(data)
         text = int(np.searchsorted(offsets, begin, "right")) - 1
         held = data[begin:end].tobytes()
-        here = np.bitwise_or.reduce(bits[stretch == i])
         for n, rule in enumerate(rules):
             if here >> n & 1:
                 for match in exact[n].finditer(held):

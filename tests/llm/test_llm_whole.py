@@ -1,6 +1,7 @@
 """Inputs on which operators once did less than the whole job, against plain Python."""
 
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ import corpus_pipeline
 from opsframe.llm.knn_join import top_k
 from opsframe.llm.ngram_join import ngram_components
 from opsframe.llm.quality import features
+from opsframe.llm.secret_scan import scan_secrets
 from opsframe.llm.sharding import assign_shards, fewest_bytes
 from opsframe.llm.substring_dedup import remove_repeated_passages
 from opsframe.llm.suffix_dedup import remove_repeated_bytes
@@ -149,6 +151,20 @@ def test_words_and_spans_that_weak_hashes_confuse(spark):
     assert kept == {0: a, 1: b}
 
 
+def test_secrets_on_every_line_of_a_long_text(spark):
+    rng = random.Random(11)
+    text = "\n".join(f"{rng.getrandbits(256):064x}" for _ in range(1 << 14))
+    rows = spark.createDataFrame([(1, text), (2, "x" + text)], "doc_id long, text string")
+    begin = time.monotonic()
+    found = {r["doc_id"]: r["spans"] for r in scan_secrets(rows).collect()}
+    # A pass over all matches for each line would take minutes.
+    assert time.monotonic() - begin < 60
+    for i, lead in ((1, 0), (2, 1)):
+        assert [(s["kind"], s["start"], s["end"]) for s in found[i]] == [
+            ("hex", 65 * n + lead, 65 * n + 64 + lead) for n in range(1 << 14)
+        ]
+
+
 def test_features_do_not_depend_on_the_text_before():
     texts = ["Short one.", "", "zz", "Short one.", "a", None, "Short one."]
     together = np.concatenate(list(features(pa.array(texts))))
