@@ -3,8 +3,9 @@
 Targets come from the sources' sizes alone. Each source's rows are then put in a pseudo-random
 order, and their running word count is set against the source's cumulative demand: the integral of
 its weight schedule, scaled to its target. Inverting it gives each row, and each repeat of it, its
-position in training. Running counts are taken per source and hash bucket and then over the bucket
-sums, so that a source with a third of all rows is spread over thousands of tasks.
+position in training; a range sort by it puts the copies of all sources into training order.
+Running counts are taken per source and hash bucket and then over the bucket sums, so that a source
+with a third of all rows is spread over thousands of tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from opsframe.operators.ordering import with_position
+from opsframe.operators.ordering import row_hash, with_position
 from opsframe.session import staged
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -90,18 +91,29 @@ def mix_sources(
     )
 
 
-def in_training_order(mixed: DataFrame) -> DataFrame:
-    """One row per copy that the mix takes at least half of, range-sorted by ``position``."""
+def in_training_order(mixed: DataFrame, every: bool = False) -> DataFrame:
+    """One row per copy that the mix takes at least half of, range-sorted by ``position``.
+
+    ``copy`` is 1, or 2 for the repeat, and ``words`` what the mix takes of it; columns of
+    ``mixed`` with these names are replaced. With ``every``, copies that it takes less of stay as
+    well, and each row that it takes nowhere comes last, as a copy of no words without a position.
+    Ties, and these last rows, go by a hash of the row: reruns agree on the order, and only rows
+    that agree in every column stay together.
+    """
     first, again = F.least("taken", "size"), F.greatest(F.col("taken") - F.col("size"), F.lit(0))
-    at = F.filter(
-        F.array(
-            F.when((F.col("size") > 0) & (2 * first >= F.col("size")), F.col("first_at")),
-            F.when((F.col("size") > 0) & (2 * again >= F.col("size")), F.col("again_at")),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    copies = mixed.withColumn("position", F.explode(at))
-    return copies.repartitionByRange("position").sortWithinPartitions("position")
+    copies = []
+    for number, words, at in ((1, first, "first_at"), (2, again, "again_at")):
+        copy = F.struct(
+            F.lit(number).alias("copy"), words.alias("words"), F.col(at).alias("position")
+        )
+        whole = (F.col("size") > 0) & (2 * words >= F.col("size"))
+        some = (words > 0) | F.lit(number == 1)
+        copies.append(F.when(some if every else whole, copy))
+    kept = F.filter(F.array(*copies), lambda x: x.isNotNull())
+    rest = [c for c in mixed.columns if c not in ("copy", "words", "position")]
+    rows = mixed.select(*rest, F.explode(kept).alias("_copy")).select(*rest, "_copy.*")
+    order = (F.col("position").asc_nulls_last(), row_hash(rows))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def _between(x: Column, most: Column) -> Column:

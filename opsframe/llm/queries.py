@@ -12,7 +12,7 @@ from opsframe.llm.decontaminate import find_contamination, is_contaminated
 from opsframe.llm.hard_negatives import hard_negatives
 from opsframe.llm.knn_join import quantized, top_k
 from opsframe.llm.language_id import identify_languages
-from opsframe.llm.mixing import mix_sources
+from opsframe.llm.mixing import in_training_order, mix_sources
 from opsframe.llm.ngram_join import ngram_components
 from opsframe.llm.quality import quality_scores
 from opsframe.llm.secret_scan import BASE_KINDS, scan_secrets
@@ -21,7 +21,7 @@ from opsframe.llm.substring_dedup import remove_repeated_passages
 from opsframe.llm.suffix_dedup import remove_repeated_bytes
 from opsframe.llm.warc import page_of, read_warc, sound_records, write_warc
 from opsframe.llm.whitening import whitened_rows
-from opsframe.session import shared_dir
+from opsframe.session import shared_dir, staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -124,9 +124,11 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_documents(spark, sf_dir).select("doc_id", "text", "source"))
+    # The mix itself, every copy in training order; a document's row is read off its first copy.
+    copies = staged(in_training_order(mixed.drop("text", "source"), every=True), "mix")
     # Training positions in millionths of the whole training.
     at = {name: F.floor(F.col(name) * 1_000_000) for name in ("first_at", "again_at")}
-    return mixed.select(
+    return copies.where("copy = 1").select(
         "doc_id",
         "size",
         "source_size",

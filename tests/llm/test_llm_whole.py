@@ -8,8 +8,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as contract
 import corpus_pipeline
 from opsframe.llm.knn_join import top_k
+from opsframe.llm.mixing import in_training_order, mix_sources
 from opsframe.llm.ngram_join import ngram_components
 from opsframe.llm.quality import features
 from opsframe.llm.secret_scan import scan_secrets
@@ -170,3 +172,75 @@ def test_features_do_not_depend_on_the_text_before():
     together = np.concatenate(list(features(pa.array(texts))))
     alone = np.concatenate([np.concatenate(list(features(pa.array([t], pa.string())))) for t in texts])
     assert np.array_equal(together, alone)
+
+
+def test_mixing_query_reads_its_rows_from_the_mix_in_training_order(spark):
+    found = contract.queries()["op9_source_mixing"](spark, "/root/testdata/sf0.01")
+    rows = {r["doc_id"]: r for r in found.collect()}
+    copies = [r for file in sorted(found.inputFiles()) for r in spark.read.parquet(file).collect()]
+    at = [r["position"] for r in copies if r["position"] is not None]
+    assert at == sorted(at) and all(r["position"] is None for r in copies[len(at) :])
+    assert any(r["copy"] == 2 for r in copies) and {r["doc_id"] for r in copies} == set(rows)
+    taken, places = dict.fromkeys(rows, 0), {}
+    for r in copies:
+        taken[r["doc_id"]] += r["words"]
+        places[r["doc_id"], r["copy"]] = r["position"]
+    for i, r in rows.items():
+        assert r["taken"] == taken[i]
+        for copy, name in ((1, "first_at"), (2, "again_at")):
+            place = places.get((i, copy))
+            assert r[name] == (None if place is None else int(place * 1_000_000))
+
+
+def _sources(rng):
+    """A source without any words, one too small for its share, and one far larger than its own."""
+    rows = [(None, None, "w"), (1, " ", "w"), (2, "a b c", "x"), (2, "a b c", "x"), (None, "d e", "x")]
+    words = lambda: " ".join(["v"] * rng.randrange(5))
+    rows += [(i, words(), "y") for i in range(100, 1100)]
+    return rows + [(i, words(), rng.choice(["z", None])) for i in range(2000, 6000)]
+
+
+def test_training_order_holds_every_copy_once_and_is_the_same_each_time(spark):
+    rows = _sources(random.Random(9))
+    shape = "doc_id long, text string, source string"
+    df = spark.createDataFrame(rows, shape)
+    mixed = mix_sources(df)
+    expected, target = [], {}
+    for r in mixed.collect():
+        target[r["source"]] = int(r["target"])
+        first, again = min(r["taken"], r["size"]), max(r["taken"] - r["size"], 0)
+        expected.append((r["doc_id"], r["text"], r["source"], 1, first, r["first_at"]))
+        if again:
+            expected.append((r["doc_id"], r["text"], r["source"], 2, again, r["again_at"]))
+    names = ("doc_id", "text", "source", "copy", "words", "position")
+    order = [tuple(r[n] for n in names) for r in in_training_order(mixed, every=True).collect()]
+    key = lambda r: tuple((x is None, x or 0) for x in (r[5], r[3], r[0], r[4])) + (str(r[1:3]),)
+    assert sorted(order, key=key) == sorted(expected, key=key)
+    taken = dict.fromkeys(target, 0)
+    for r in order:
+        taken[r[2]] += r[4]
+        assert (r[4] == 0) == (r[5] is None)
+    assert taken == target
+    at = [r[5] for r in order if r[4]]
+    assert at == sorted(at) and len(at) < len(order) and all(r[4] == 0 for r in order[len(at) :])
+    again = spark.createDataFrame(rows[::-1], shape).repartition(7)
+    again = in_training_order(mix_sources(again), every=True).collect()
+    assert order == [tuple(r[n] for n in names) for r in again]
+    # As whole texts: copies of which at least half is taken, at the same places.
+    half = [r for r in order if r[4] and 2 * r[4] >= len(r[1].split())]
+    assert [tuple(r[n] for n in names) for r in in_training_order(mixed).collect()] == half
+
+
+def test_documents_that_the_mix_leaves_out_do_not_meet_in_one_task(spark):
+    rows = spark.range(8000).selectExpr(
+        "id AS doc_id", "'a b' AS text", "if(id < 400, 'x', if(id < 800, 'y', 'z')) AS source"
+    )
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        order = in_training_order(mix_sources(rows, weights=(5, 2, 0.5), percent=20), every=True)
+        counts = order.groupBy(F.spark_partition_id()).agg(F.count("*"), F.count("position")).collect()
+    finally:
+        spark.conf.unset(coalesce)
+    assert sum(n for _, n, _ in counts) >= 8000 and sum(k for *_, k in counts) < 4000
+    assert max(n for _, n, _ in counts) < 4000
